@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "short": T.ShortType(), "byte": T.ByteType(), "boolean": T.BooleanType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, text.split(","))])
 
 
 PSCOMPPARS = _schema(
