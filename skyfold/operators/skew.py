@@ -48,3 +48,17 @@ def find_hot(df: DataFrame, keys: list[Column], *, buckets: int = 1 << 16, share
 def broadcast_checked(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined to ``right`` on ``keys``; rows of hot keys of ``left`` are spread over salts by ``spread``.
+
+    ``right`` should hold few rows a key: those of hot keys are copied to every salt. Null keys match nothing.
+    Both sides are used as they are, so either should be cheap to compute twice or be materialized.
+    """
+    columns = [F.col(k) for k in keys]
+    hot = find_hot(left, columns)
+    if not hot.hot:
+        return left.join(right, keys, how)
+    salted = left.withColumn("_salt", hot.one(columns, [F.col(c) for c in spread]))
+    return salted.join(right.withColumn("_salt", F.explode(hot.every(columns))), [*keys, "_salt"], how).drop("_salt")
