@@ -35,3 +35,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a scan of few row groups would leave the others
+    idle in a costly stage of Python. Larger inputs are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
