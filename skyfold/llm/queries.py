@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm.encoding import with_ids, with_token_count
+from skyfold.llm.linkage import link
 from skyfold.llm.packing import pack
 from skyfold.llm.resolution import HOST_FIELDS, host_key, survivors, truths
 from skyfold.llm.truncation import truncated, truncation_report
@@ -26,6 +27,14 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("record_key").alias("host_id"), "field_name", "value", F.size("sources").alias("sources"), "probability", (F.col("probability") >= 0.5).alias("retained"))
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "pscomppars"), table(spark, sf_dir, "wgsn_faints"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("host_key", "wgsn_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "ids")
 
@@ -46,7 +55,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_values, p8_ids, p9_packed, p9_containers, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_values, p5_pairs, p5_found, p8_ids, p9_packed, p9_containers, p10_found, p10_report)}
 _HOST = r"nullif(nullif(lower(regexp_replace(host_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), ''), '-')"
 _P4 = f"""
 with r as (select {_HOST} h, row_id, updated_at, coalesce(trust_rank, 2147483647) k, stellar_temperature_k t, stellar_mass_solar m, stellar_radius_solar r, stellar_luminosity_log_solar l
