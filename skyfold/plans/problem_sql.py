@@ -65,4 +65,4 @@ union all select retrieval_id, load_no, column_name, 'bad_values' from j where b
 union all select retrieval_id, load_no, column_name, 'constant_fill' from j where top_share is not null
 """
 
-SQL = {"p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": P7_PROFILE, "p7_found": P7}
+SQL = {"p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": f"select * replace (round(median, 9) as median) from ({P7_PROFILE})", "p7_found": P7}

@@ -9,7 +9,7 @@ from skyfold.functions.names import search_key
 from skyfold.functions.text import plain_decimal, strip
 from skyfold.operators.nearby import pairs_within
 from skyfold.operators.orphans import Reference, Target, orphan_references
-from skyfold.operators.profile import Usable, load_findings, profile_loads
+from skyfold.operators.profile import Usable, chunk_statistics, load_findings, profile_loads
 from skyfold.operators.rejects import CheckedId, CheckedNumber, loaded_lines, rejected_lines
 from skyfold.operators.snapshot_diff import snapshot_changes
 from skyfold.sources.schemas import PSCOMPPARS
@@ -63,11 +63,16 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_loads(table(spark, sf_dir, "gaia"), USABLE)
+    return profile_loads(table(spark, sf_dir, "gaia"), USABLE).withColumn("median", F.round("median", 9))
+
+
+def p7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_statistics(table(spark, sf_dir, "gaia"), [u.column for u in USABLE])
+    return chunks.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"), "row_group", "column_name", "rows", "nulls", "low", "high", "candidates", F.size("loads").alias("loads"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_findings(p7_profile(spark, sf_dir))
+    return load_findings(profile_loads(table(spark, sf_dir, "gaia"), USABLE))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p6_found, p6_loaded, p7_profile, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p6_found, p6_loaded, p7_profile, p7_found, p7_chunks)}
