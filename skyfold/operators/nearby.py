@@ -13,10 +13,11 @@ _SLACK = 1e-9  # degrees by which a star's cells reach further than the radius,
 
 
 def separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Great-circle distance in degrees (haversine, exact for small angles)."""
+    """Great-circle distance in degrees (haversine, exact for small angles); null if a coordinate is."""
     half_dec, half_ra = F.sin(F.radians(dec2 - dec1) / 2), F.sin(F.radians(ra2 - ra1) / 2)
     chord = half_dec * half_dec + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * half_ra * half_ra
-    return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(chord))))
+    # not F.least, which would pass over an unknown position
+    return F.degrees(2 * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord))))
 
 
 def on_sky(ra: Column, dec: Column) -> Column:
@@ -66,7 +67,8 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_deg: float, *, left_i
     circles = banded.withColumn("_at", F.explode(F.array_distinct(F.transform(ring, lambda x: F.pmod(x, n))))).withColumn("_cell", _cell(F.col("_band"), F.col("_at")))
     circles = circles.select("_left", "_ra", "_dec", "_cell", F.explode(hot.every([F.col("_cell")])).alias("_salt"))
 
-    met = circles.join(points, ["_cell", "_salt"]).withColumn("_sep", separation_deg(F.col("_ra"), F.col("_dec"), F.col("_ra2"), F.col("_dec2")))
+    # The planner does not see how many cells a circle has; it must not take the exploded side for a small one.
+    met = circles.join(points.hint("merge"), ["_cell", "_salt"]).withColumn("_sep", separation_deg(F.col("_ra"), F.col("_dec"), F.col("_ra2"), F.col("_dec2")))
     return met.where(F.col("_sep") <= radius_deg).groupBy(F.col("_left").alias(left_id), F.col("_right").alias(right_id)).agg(F.min("_sep").alias("separation_deg"))
 
 
