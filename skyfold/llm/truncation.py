@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyfold.functions.text import strip
 from skyfold.operators.skew import broadcast_checked, salted_join
 from skyfold.session import materialize, spread
 
@@ -11,36 +13,38 @@ _CLOSERS = "\"”’')\\]»}"
 _STOPS = ".!?…。！？"
 # A stop that ends a token becomes ⓢ, a line break ⓝ; other marks at the edges of a token vanish, numbers are all 0.
 _STEPS = [
-    (r"[0-9]+(?:[.,:/][0-9]+)*", "0"),
+    (r"[0-9]++(?:[.,:/][0-9]++)*+", "0"),
     (r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}])", " $1 "),
-    (r"\s+([。！？、」])", "$1 "),
-    (r"\s*[\n\r]\s*", "ⓝ "),
-    (rf"[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*(?=ⓝ?(?:\s|\z))", "ⓢ"),
-    (rf"[.,;:、—({_CLOSERS}]+(?=ⓝ?(?:\s|\z))", ""),
-    (r"(?<=\A|\s)[\"“'(¿¡«\[]+", ""),
-    (r"\s+(?=[ⓢⓝ])", ""),
+    (r" ++([。！？、」])", "$1 "),
+    (r" *+\n[\n ]*+", "ⓝ "),
+    (rf"(?<![.,;:!?…。！？、—{_CLOSERS}])[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*+(?=ⓝ?+(?: |\z))", "ⓢ"),
+    (rf"(?<![.,;:、—({_CLOSERS}])[.,;:、—({_CLOSERS}]++(?=ⓝ?+(?: |\z))", ""),
+    (r"(?<![^ ])[\"“'(¿¡«\[]++", ""),
+    (r" ++(?=[ⓢⓝ ])", ""),
 ]
+# All white space of Unicode becomes a plain space or line break first, so that the patterns need no Unicode classes.
+_SPACES, _BREAKS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", "\r\x85\u2028\u2029"
 
 
 def _marked(text: str) -> str:
     """SQL of a text with its tokens normalised and stops marked."""
-    sql = f"lower({text})"
+    sql = f"translate(lower({text}), '{_SPACES}{_BREAKS}', '{' ' * len(_SPACES)}{chr(10) * len(_BREAKS)}')"
     for pattern, by in _STEPS:
         pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        sql = f"regexp_replace({sql}, '(?U){pattern}', '{by}')"
+        sql = f"regexp_replace({sql}, '{pattern}', '{by}')"
     return f"trim({sql})"
 
 
 def _tokens(marked: str) -> str:
-    return f"filter(split({marked}, '(?U)\\\\s+'), t -> t != '')"
+    return f"filter(split({marked}, ' '), t -> t != '')"
 
 
-_EDGE = "(?U)^[\\\\s\\\\x{feff}]+|[\\\\s\\\\x{feff}]+$"
-_GROUPS = r"(?U)(\\s*[\\[(][^\\[\\]()]{1,40}[\\])])+\\s*$"
-_CLOSED = "[\"”’\\')\\\\]»}]+$"
+# Runs are tried from their first character only, so that long ones cost no more than their length.
+_GROUPS = r"(?U)(?<!\\s)(?:\\s*+[\\[(][^\\[\\]()]{1,40}+[\\])])++\\s*+$"
+_CLOSED = "(?<![\"”’\\')\\\\]»}])[\"”’\\')\\\\]»}]++$"
 _MOST_RATIO = 200  # no trigram, however common, counts for more
 _UNCLOSED = r"[\\[(][^\\[\\]()]{0,40}$"
-_MARK = r"(?U)(\\s*(\\.\\.\\.|…|\\x{fffd})\\s*)+$"
+_MARK = r"(?U)(?<!\\s)(?:\\s*+(?:\\.\\.\\.|…|\\x{fffd}))++\\s*+$"
 
 
 def _sql(of: DataFrame | SparkSession, query: str, **frames: DataFrame) -> DataFrame:
@@ -99,11 +103,8 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     omission are set aside first. Counts leave out repeated deliveries of a text.
     """
     spark = documents.sparkSession
-    docs = _sql(
-        spark,
-        f"select doc_id, coalesce(source, '') as source, text, regexp_replace(text, '{_EDGE}', '') as body from (select cast(doc_id as bigint) as doc_id, cast(source as string) as source, cast(text as string) as text from «documents»)",
-        documents=spread(documents.select("doc_id", "source", "text")),
-    ).where("body != ''")
+    plain = spread(documents.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string")))
+    docs = plain.withColumn("body", strip("text")).where("body != ''")
     docs = _sql(
         spark,
         rf"""
