@@ -52,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation_report(table(spark, sf_dir, "documents"))
+    return truncation_report(truncated(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_values, p5_pairs, p5_found, p8_ids, p9_packed, p9_containers, p10_found, p10_report)}

@@ -81,7 +81,7 @@ def _extensions(counts: DataFrame, finals: DataFrame, context: list[str], name:
     """How often a longer word that begins with a final word follows the same context inside texts."""
     c, spark = ", ".join(context), counts.sparkSession
     lengths = _sql(spark, f"select {c}, collect_set(length(w3)) as lengths from «finals» group by {c}", finals=finals)
-    grown = _sql(spark, f"select {c}, w3, sum(goes_on + stops) as n from «counts» where goes_on + stops > 0 group by {c}, w3", counts=counts)
+    grown = _sql(spark, f"select {c}, w3, sum(goes_on + stops + text_ends) as n from «counts» group by {c}, w3", counts=counts)
     cut = _sql(
         spark,
         f"select {c}, left(w3, n_chars) as w3, sum(n) as {name} from (select {c}, w3, n, explode(filter(lengths, x -> x < length(w3))) as n_chars from «grown» join «lengths» using ({c})) group by 1, 2" + (", 3" if len(context) > 1 else ""),
@@ -94,8 +94,9 @@ def _extensions(counts: DataFrame, finals: DataFrame, context: list[str], name:
 def truncation_evidence(documents: DataFrame) -> DataFrame:
     """One row per document with text: what its last words tell, from the word trigrams of all texts.
 
-    (doc_id, source, near_limit, marked, ratio, goes_on, stops, ending): ``ratio`` is how much more often the final
-    words go on than stop, against all words, the trigram's shares being smoothed by those of its last two and last; ``ending`` is one of ``open`` (an object without
+    (doc_id, source, near_limit, in_lines, marked, ratio, goes_on, stops, ending): ``ratio`` is how much more often the final
+    words go on than stop, against all words, the trigram's shares being smoothed by those of its last two and last;
+    ``near_limit`` is 2 at the source's longest length, 1 within a twentieth of it, else 0; ``ending`` is one of ``open`` (an object without
     its closing brace), ``word`` (a word that occurs only longer in this place), ``whole``, ``stop``, ``line`` (a
     line that occurs as a whole line), ``next_line`` (a line always followed by another), ``comma``, ``bracket``
     (one left open), ``gram``,
@@ -116,7 +117,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
         e as (select *, if(tail = 'mark' and regexp_replace(bare, '{_MARK}', '') != '', regexp_replace(bare, '{_MARK}', ''), core) as said from d),
         f as (select *, tail in ('mark', '') and said rlike '{_UNCLOSED}' as unclosed, {_marked("said")} as marked_end from e)
         select doc_id, source, md5(text) as text_key, char_length(text) as n_chars, octet_length(text) as n_bytes, body, tail, unclosed, right(core, 1) as last_char,
-          left(body, 1) in ('{{', '[') as structured, length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', '')) as is_open,
+          contains(body, '{{"') as structured, (length(body) - length(replace(body, '\n', ''))) * 120 > length(body) as in_lines, length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', '')) as is_open,
           {_tokens("marked_end")} as ending, {_tokens("element_at(split(marked_end, 'ⓝ'), -1)")} as last_line
         from f
         """,
@@ -126,7 +127,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
         _sql(
             spark,
             """
-            select doc_id, source, text_key, n_chars, n_bytes, tail, unclosed, last_char, structured, is_open,
+            select doc_id, source, text_key, n_chars, n_bytes, tail, unclosed, last_char, structured, is_open, in_lines,
               coalesce(translate(get(ending, size(ending) - 3), 'ⓢⓝ', ''), '^') as w1, coalesce(translate(get(ending, size(ending) - 2), 'ⓢⓝ', ''), '^') as w2,
               coalesce(translate(get(ending, size(ending) - 1), 'ⓢⓝ', ''), '') as w3,
               if(size(last_line) <= 8, translate(array_join(last_line, ' '), 'ⓢⓝ', ''), null) as line
@@ -160,12 +161,12 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     return _sql(
         spark,
         f"""
-        with a as (select *, coalesce(n_chars >= 0.95 * most_chars or n_bytes >= 0.95 * most_bytes, false) as near_limit, goes_on + stops >= 3 as sure3,
-            tail != 'stop' and longer >= 3 and longer > 9 * (goes_on + stops) as cut3, goes_on + stops + longer >= 3 as seen3,
-            tail != 'stop' and longer2 >= 3 and longer2 > 9 * (goes_on2 + stops2) as cut2,
+        with a as (select *, case when n_chars > most_chars - 3 or n_bytes > most_bytes - 4 then 2 when n_chars >= 0.95 * most_chars or n_bytes >= 0.95 * most_bytes then 1 else 0 end as near_limit, goes_on + stops >= 3 as sure3,
+            tail != 'stop' and longer >= 3 and longer > 9 * (goes_on + stops) and longer > text_ends as cut3, goes_on + stops + longer >= 3 as seen3,
+            tail != 'stop' and longer2 >= 3 and longer2 > 9 * (goes_on2 + stops2) and longer2 > text_ends2 as cut2,
             (goes_on1 + 0.5) / (goes_on1 + stops1 + 1) as p1 from «met»),
         b as (select *, (goes_on + 5 * (goes_on2 + 5 * p1) / (goes_on2 + stops2 + 5)) / (goes_on + stops + 5) as p3, if(sure3, goes_on, goes_on2) as on_, if(sure3, stops, stops2) as off_, if(sure3, line_ends, line_ends2) as lines_, if(sure3, text_ends, text_ends2) as ends_ from a)
-        select doc_id, source, near_limit, tail = 'mark' as marked, least({_MOST_RATIO}, least(p3, 0.999999) / (1 - least(p3, 0.999999)) * {totals['stop_rate']!r}D) as ratio, on_ as goes_on, off_ as stops,
+        select doc_id, source, near_limit, in_lines, tail = 'mark' as marked, least({_MOST_RATIO}, least(p3, 0.999999) / (1 - least(p3, 0.999999)) * {totals['stop_rate']!r}D) as ratio, on_ as goes_on, off_ as stops,
           case when structured and is_open then 'open' when structured then 'whole' when tail = 'stop' and last_char != '.' then 'stop'
             when cut3 or (not seen3 and cut2) then 'word' when tail = 'stop' then 'point' when unclosed then 'bracket' when tail = 'comma' then 'comma'
             when lines_ >= 20 and lines_ > 0.8 * (on_ + off_) and ends_ < 0.02 * lines_ then 'next_line'
@@ -181,16 +182,17 @@ def truncated(documents: DataFrame) -> DataFrame:
 
     A final trigram that often goes on inside texts but hardly ever stops speaks for a cut, by the ratio of the
     two shares; how much is needed depends on the source: words cut in the middle show how often each source
-    cuts, near its longest length and elsewhere, and give the prior odds. Null, empty and blank texts are left
-    out; texts that end on a stop or a closed object are whole. The result holds one row per document row.
+    cuts, at or near its longest length and elsewhere, in prose and in lines, and give the prior odds. Null, empty
+    and blank texts are left out; texts that end on a stop or a closed object are whole. The result holds one row
+    per document row.
     """
     spark = documents.sparkSession
     evidence = materialize(truncation_evidence(documents))
-    # Of the cuts, about 0.45 fall between words for each one inside a word.
+    # For each cut inside a word about 0.75 fall between words or inside a number.
     groups = _sql(
         spark,
-        """select source, near_limit, least(0.98, (0.45 * count_if(ending = 'word') + 0.02) / (count_if(ending in ('comma', 'bracket', 'next_line', 'line', 'gram', 'closer', 'unknown')) + 1)) as prior,
-           from «e» group by 1, 2""".replace("prior,", "prior"),
+        """select source, near_limit, in_lines, least(0.98, (0.75 * count_if(ending = 'word') + 0.02) / (count_if(ending in ('comma', 'bracket', 'next_line', 'line', 'gram', 'closer', 'unknown')) + 1)) as prior
+           from «e» group by 1, 2, 3""",
         e=evidence,
     )
     return _sql(
@@ -202,12 +204,10 @@ def truncated(documents: DataFrame) -> DataFrame:
             when 'unknown' then odds * 3 > 1 when 'point' then odds > 1 and goes_on >= 5 and stops < 0.02 * (goes_on + stops) else false end as is_truncated
         from a
         """,
-        j=evidence.join(broadcast_checked(groups, 100_000), ["source", "near_limit"]),
+        j=evidence.join(broadcast_checked(groups, 100_000), ["source", "near_limit", "in_lines"]),
     )
 
 
-def truncation_report(documents: DataFrame) -> DataFrame:
-    """(source, texts, truncated_texts, share) per source."""
-    return _sql(documents, 
-        "select source, count(*) as texts, count_if(is_truncated) as truncated_texts, count_if(is_truncated) / count(*) as share from «t» group by 1", t=truncated(documents)
-    )
+def truncation_report(judged: DataFrame) -> DataFrame:
+    """(source, texts, truncated_texts, share) per source of the rows ``truncated`` gives."""
+    return _sql(judged, "select source, count(*) as texts, count_if(is_truncated) as truncated_texts, count_if(is_truncated) / count(*) as share from «t» group by 1", t=judged)
