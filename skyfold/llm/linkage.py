@@ -17,7 +17,7 @@ from skyfold.session import materialize
 PLACEHOLDERS = ("", "-", "--", "_")
 LIGHT_YEARS_PER_PARSEC = 3.26156
 REACH_DEG = 20 / 3600  # positions further apart than this speak against a pair
-HOT_PAIRS = 1_000_000  # a block value with more pairs than this is joined together with a second block
+HOT_PAIRS = 1_000_000  # a block value with more pairs than this is joined in tiles of about as many
 
 # How often each level of a field is met among pairs that are the same star, and among other candidate pairs.
 LEVELS: dict[str, dict[str, tuple[float, float]]] = {
@@ -84,47 +84,62 @@ def star_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _described(rows.select("record", *described).distinct()), rows.select("wgsn_id", "record").distinct()
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """(record, block, value): the vector of each attribute a record has, as one key."""
-    return df.select(
-        "record", F.explode(F.filter(F.array(*[F.struct(F.lit(c).alias("block"), F.when(F.col(f"{c}_bits").isNotNull(), F.xxhash64(F.lit(c), f"{c}_bits")).alias("value")) for c in ("stem", "hip", "hd")]), lambda x: x["value"].isNotNull())).alias("x")
-    ).select("record", "x.*")
+FIELDS = ("record", "component", "stem_bits", "hip_bits", "hd_bits", "ra_deg", "dec_deg", "parsec", "stem", "hip", "hd")
+BLOCKS = ("stem", "hip", "hd")
+
+
+def _sides(stars: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two descriptions with the columns that are compared, as ``s_`` and ``h_``."""
+    return stars.select(*[F.col(c).alias(f"s_{c}") for c in FIELDS]), hosts.select("host_key", *[F.col(c).alias(f"h_{c}") for c in FIELDS])
+
+
+def _blocks(df: DataFrame, side: str) -> DataFrame:
+    """The rows once for each attribute they have, with (block, value): the attribute's vector as one key."""
+    bits = lambda c: F.col(f"{side}_{c}_bits")
+    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.when(bits(c).isNotNull(), F.xxhash64(F.lit(c), bits(c))).alias("value")) for i, c in enumerate(BLOCKS)])
+    return df.withColumn("x", F.explode(F.filter(keys, lambda x: x["value"].isNotNull()))).select("*", "x.*").drop("x")
+
+
+def _agree(c: str) -> Column:
+    return F.coalesce(F.col(f"s_{c}_bits") == F.col(f"h_{c}_bits"), F.lit(False))
 
 
 def candidate_pairs(stars: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(star, host): records whose bit vectors agree in at least one block, or whose positions are close.
+    """Both descriptions of the records whose bit vectors agree in at least one block, or whose positions are close.
 
     A record's vector is the sequence of its attributes' vectors; the index has a table for each of them and one
     for the position, whose cell is looked up with its neighbours. By the pigeonhole principle every pair whose
     differing bits leave at least one of these blocks untouched is found. Blocks inside one short designation would
-    hold two or three set bits and select nothing. Values with very many pairs are joined together with each other
-    block of the record: a pair that agrees nowhere else cannot reach a confidence of a half.
+    hold two or three set bits and select nothing. Every pair comes once, from the first block it agrees in; one that
+    agrees in none comes by its position. Values with very many pairs are cut into tiles of some ``HOT_PAIRS``: each
+    row of one side has a stripe, and is copied to all stripes of the other. All pairs of all values are kept.
     """
-    left, right = _blocks(stars), _blocks(hosts)
+    left, right = (_blocks(df, side) for df, side in zip(_sides(stars, hosts), "sh"))
     n_left, n_right = (df.groupBy("value").agg(F.count("*").alias(n)) for df, n in ((left, "l"), (right, "r")))
-    hot = materialize(n_left.join(n_right, "value").where(F.col("l") * F.col("r") > HOT_PAIRS).select("value", F.lit(True).alias("hot")))
+    stripes = lambda n: F.ceil(F.col(n) / math.isqrt(HOT_PAIRS)).cast("int")
+    hot = materialize(n_left.join(n_right, "value").where(F.col("l") * F.col("r") > HOT_PAIRS).select("value", stripes("l").alias("l_stripes"), stripes("r").alias("r_stripes")))
     if hot.isEmpty():
-        met = left.join(right.withColumnRenamed("record", "host"), "value").select(F.col("record").alias("star"), "host")
+        met = left.drop("block").join(right, "value")
     else:
         known = broadcast_checked(hot, 1_000_000)
 
-        def keyed(df: DataFrame) -> DataFrame:
-            marked = df.join(known, "value", "left")
-            grouped = marked.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("value", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("all"))
-            keys = F.flatten(F.transform("all", lambda a: F.when(~a["hot"], F.array(F.xxhash64(a["value"]))).otherwise(F.transform(F.filter("all", lambda b: b["value"] != a["value"]), lambda b: F.xxhash64(F.least(a["value"], b["value"]), F.greatest(a["value"], b["value"]))))))
-            return grouped.select("record", F.explode(F.array_distinct(keys)).alias("key"))
+        def tiled(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+            marked = df.join(known, "value", "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64(f"{side}_record", F.lit(own)), F.col(f"{own}s")), F.lit(0)).cast("int"))
+            return marked.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}s"), F.lit(1)) - 1))).drop("l_stripes", "r_stripes")
 
-        met = keyed(left).join(keyed(right).withColumnRenamed("record", "host"), "key").select(F.col("record").alias("star"), "host")
+        # as for close pairs, the planner must not take an exploded side for a small one
+        met = tiled(left, "s", "l_stripe", "r_stripe").drop("block").join(tiled(right, "h", "r_stripe", "l_stripe").hint("merge"), ["value", "l_stripe", "r_stripe"])
+    columns = [*[f"s_{c}" for c in FIELDS], "host_key", *[f"h_{c}" for c in FIELDS]]
+    first = reduce(lambda rest, i: F.when(_agree(BLOCKS[i]), F.lit(i)).otherwise(rest), reversed(range(len(BLOCKS))), F.lit(None).cast("int"))
+    met = met.where(F.col("block") == first).select(*columns)
     close = pairs_within(stars.withColumnRenamed("record", "star"), hosts.withColumnRenamed("record", "host"), REACH_DEG, left_id="star", right_id="host").select("star", "host")
-    return met.unionByName(close).distinct()
+    a, b = _sides(stars, hosts)
+    close = close.join(a, close["star"] == a["s_record"]).join(b, close["host"] == b["h_record"]).where(first.isNull()).select(*columns)
+    return met.unionByName(close)
 
 
-def compared(pairs: DataFrame, stars: DataFrame, hosts: DataFrame) -> DataFrame:
-    """The pairs with the level of each field; null where a side lacks it."""
-    fields = ["record", "component", "stem_bits", "hip_bits", "hd_bits", "ra_deg", "dec_deg", "parsec", "stem", "hip", "hd"]
-    a = stars.select(*[F.col(c).alias(f"s_{c}") for c in fields])
-    b = hosts.select("host_key", *[F.col(c).alias(f"h_{c}") for c in fields])
-    both = pairs.join(a, pairs["star"] == a["s_record"]).join(b, pairs["host"] == b["h_record"])
+def compared(both: DataFrame) -> DataFrame:
+    """The candidate pairs with the level of each field; null where a side lacks it."""
 
     def alike(c: str) -> Column:
         score = dice(F.col(f"s_{c}_bits"), F.col(f"h_{c}_bits"))
@@ -134,7 +149,7 @@ def compared(pairs: DataFrame, stars: DataFrame, hosts: DataFrame) -> DataFrame:
     arc = separation_deg(F.col("s_ra_deg"), F.col("s_dec_deg"), F.col("h_ra_deg"), F.col("h_dec_deg")) * 3600
     off = F.abs(F.ln(F.col("s_parsec") / F.col("h_parsec")))
     return both.select(
-        "star", "host", "host_key", alike("stem").alias("name"),
+        F.col("s_record").alias("star"), F.col("h_record").alias("host"), "host_key", alike("stem").alias("name"),
         F.when(F.col("s_stem") == F.col("h_stem"), F.when(F.col("s_component") == F.col("h_component"), "equal").otherwise("conflict")).alias("component"),
         alike("hip").alias("hip"), alike("hd").alias("hd"),
         F.when(arc.isNull(), None).when(arc <= 2.5, "same").when(arc <= 3.5, "close").when(arc <= REACH_DEG * 3600, "around").otherwise("far").alias("position"),
@@ -143,7 +158,7 @@ def compared(pairs: DataFrame, stars: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def calibrated(levels: DataFrame, *, rounds: int = 8, anchor: float = 0.5) -> DataFrame:
-    """Adds ``confidence``, the posterior that a pair is the same star.
+    """Adds ``confidence``, the posterior that a pair is the same star; a row stands for ``pairs`` pairs.
 
     Fields weigh by how much oftener a level is met among true pairs than among others. The frequencies start at
     ``LEVELS`` and are re-estimated on all candidate pairs by expectation-maximisation, the starting values
@@ -151,7 +166,7 @@ def calibrated(levels: DataFrame, *, rounds: int = 8, anchor: float = 0.5) -> Da
     comes to the driver has a row per combination, at most a few thousand whatever the number of pairs.
     """
     fields = list(LEVELS)
-    patterns = [(tuple(r[f] for f in fields), r["n"]) for r in levels.groupBy(*fields).agg(F.count("*").alias("n")).collect()]
+    patterns = [(tuple(r[f] for f in fields), r["n"]) for r in levels.groupBy(*fields).agg(F.sum("pairs").alias("n")).collect()]
     m, u, prior = ({f: {k: v[i] for k, v in LEVELS[f].items()} for f in fields} for i in (0, 1)), None, PRIOR
     m, u = m
 
@@ -185,8 +200,11 @@ def link(planets: DataFrame, faint_stars: DataFrame, *, least: float = 0.5) -> D
     hosts = materialize(host_records(planets))
     described, members = star_records(faint_stars)
     stars = materialize(described)
-    levels = materialize(compared(candidate_pairs(stars, hosts), stars, hosts))
+    # A star's pairs with the same levels have the same confidence: the closest, then least of them stands for all,
+    # and the table has a row per star and combination of levels, not per pair.
+    pairs = compared(candidate_pairs(stars, hosts))
+    levels = materialize(pairs.groupBy("star", *LEVELS).agg(F.count("*").alias("pairs"), F.min(F.struct(F.coalesce("arc_seconds", F.lit(1e9)).alias("arc"), "host_key")).alias("nearest")))
     scored = calibrated(levels).where(F.col("confidence") >= least)
-    best = scored.groupBy("star").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("arc_seconds", F.lit(1e9)).alias("arc"), "host_key")).alias("b"))
+    best = scored.groupBy("star").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "nearest.arc", "nearest.host_key")).alias("b"))
     best = best.select("star", "b.host_key", (-F.col("b.c")).alias("confidence"), F.when(F.col("b.arc") < 1e9, F.col("b.arc")).alias("arc_seconds"))
     return members.join(best, members["record"] == best["star"]).select("host_key", "wgsn_id", "confidence", "arc_seconds")

@@ -42,5 +42,15 @@ def test_hot_values_and_copies(spark, monkeypatch):
     assert set(got) == {(f"tkv{i}", f"s{i}") for i in range(60)} | {("tkv5", f"c{i}") for i in range(200)}
 
 
+def test_hot_values_lose_no_pair_that_agrees_nowhere_else(spark, monkeypatch):
+    hosts = [(f"Qorvex {c}", None, None, None, None, None) for c in "bcd"] + [("Zulth 4", "HIP 31", "HD 8", 10.0, 10.0, float(d)) for d in range(20, 32)] + [(f"TKV {i}", "HIP 4", None, None, None, None) for i in range(12)]
+    stars = [(f"n{i}", None, None, "Qorvex c", None, None, str(100 + i)) for i in range(40)] + [(f"d{i}", None, "8", None, None, None, str((20 + i % 12) * LY + i / 99)) for i in range(40)] + [(f"h{i}", "4", None, f"TKV {i % 15}", None, None, str(50 + i)) for i in range(40)]
+    whole = found(spark, hosts, stars)
+    assert {s for _, s in whole} >= {f"n{i}" for i in range(40)} | {f"d{i}" for i in range(40)}
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 30)
+    hot = found(spark, hosts, stars)
+    assert set(hot) == set(whole) and all(abs(hot[k] - whole[k]) < 1e-9 for k in whole)
+
+
 def test_empty(spark):
     assert found(spark, [], [("a", "HIP 5", None, "x 1", "1.0", "1.0", None)]) == {} and found(spark, HOSTS, []) == {}
