@@ -40,16 +40,8 @@ def _open(path: str):
     return system.open_input_file(name)
 
 
-def _dictionary(source, chunk) -> list | None:
-    """The distinct values of a chunk of doubles or integers, if all its pages use its dictionary; else None."""
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = {"DOUBLE": "<f8", "FLOAT": "<f4", "INT64": "<i8", "INT32": "<i4"}
-    if not chunk.has_dictionary_page or "PLAIN" in chunk.encodings and chunk.total_uncompressed_size > 1 << 20 or chunk.physical_type not in kinds:
-        return None
-    source.seek(chunk.dictionary_page_offset)
-    raw = source.read(chunk.data_page_offset - chunk.dictionary_page_offset)
+def _page_header(raw: bytes) -> tuple[dict[str, int], int]:
+    """The integers of a page header in Thrift's compact protocol by their field path, and the header's length."""
     pos, found, field = 0, {}, 0
 
     def varint() -> int:
@@ -63,7 +55,7 @@ def _dictionary(source, chunk) -> list | None:
             if byte < 128:
                 return value
 
-    def fields(prefix: str) -> None:  # a page header in Thrift's compact protocol
+    def fields(prefix: str) -> None:
         nonlocal pos, field
         field = 0
         while (head := raw[pos]) != 0:
@@ -77,24 +69,74 @@ def _dictionary(source, chunk) -> list | None:
                 fields(name + ".")
                 field = kept
             elif kind == 8:
-                pos += varint()
+                size = varint()
+                pos += size
             elif kind == 3:
                 pos += 1
             elif kind not in (1, 2):
                 raise ValueError(kind)
         pos += 1
 
+    fields("")
+    return found, pos
+
+
+def _pages(source, chunk) -> Iterator[tuple[dict[str, int], int]]:
+    """(header, offset of the body) of each page of a chunk; the bodies are passed over."""
+    at = chunk.dictionary_page_offset if chunk.has_dictionary_page else chunk.data_page_offset
+    end = at + chunk.total_compressed_size
+    while at < end:
+        for most in (1 << 12, end - at):  # statistics of long values make long headers
+            source.seek(at)
+            try:
+                found, length = _page_header(source.read(min(most, end - at)))
+                break
+            except IndexError:
+                if most >= end - at:
+                    raise
+        yield found, at + length
+        at += length + found["3"]
+
+
+_KINDS = {"DOUBLE": "<f8", "FLOAT": "<f4", "INT64": "<i8", "INT32": "<i4"}
+_DICTIONARY_CODED = (2, 8)  # PLAIN_DICTIONARY, RLE_DICTIONARY
+
+
+def _dictionary(source, chunk):
+    """The dictionary of a chunk of doubles or integers, if all its data pages use it by their headers; else None.
+
+    The footer's encodings cannot tell: the dictionary's own page counts as plain there.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if not chunk.has_dictionary_page or chunk.physical_type not in _KINDS:
+        return None
     try:
-        fields("")
-        size, plain = found["3"], found["2"]
-        body = raw[pos : pos + size]
-        if chunk.compression != "UNCOMPRESSED":
-            body = pa.Codec(chunk.compression.lower()).decompress(body, plain).to_pybytes()
-        return np.frombuffer(body, kinds[chunk.physical_type]).tolist()
+        values = None
+        for found, body in _pages(source, chunk):
+            if found["1"] == 2:
+                source.seek(body)
+                values = source.read(found["3"])
+                if chunk.compression != "UNCOMPRESSED":
+                    values = pa.Codec(chunk.compression.lower()).decompress(values, found["2"]).to_pybytes()
+            elif found["1"] in (0, 3) and found["5.2" if found["1"] == 0 else "8.4"] not in _DICTIONARY_CODED:
+                return None
+        return None if values is None else np.frombuffer(values, _KINDS[chunk.physical_type])
     except (KeyError, ValueError, IndexError, OSError, struct.error):
         return None
 
 
+def _candidates(source, file, chunk, group: int, column: str) -> int:
+    """How many different values a chunk has, from its dictionary or else from its values."""
+    import numpy as np
+
+    values = _dictionary(source, chunk)
+    if values is None:
+        values = file.read_row_group(group, columns=[column]).column(0).drop_null().to_numpy()
+    return len(np.unique(values))
+
+
 _CHUNKS = "path string, row_group int, column_name string, rows long, nulls long, low double, high double, candidates long, loads array<struct<retrieval_id:long,load_no:long>>"
 
 
@@ -106,7 +148,8 @@ def _footer_reader(load: tuple[str, str], columns: list[str], dictionaries: bool
             out = []
             for path in batch["path"]:
                 with _open(path) as source:
-                    meta = pq.ParquetFile(source).metadata
+                    file = pq.ParquetFile(source)
+                    meta = file.metadata
                     at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                     for g in range(meta.num_row_groups):
                         group = meta.row_group(g)
@@ -125,8 +168,8 @@ def _footer_reader(load: tuple[str, str], columns: list[str], dictionaries: bool
                             s = chunk.statistics
                             nulls = s.null_count if s is not None and s.has_null_count else None
                             low, high = (float(s.min), float(s.max)) if s is not None and s.has_min_max else (None, None)
-                            distinct = _dictionary(source, chunk) if dictionaries else None
-                            out.append((path, g, c, group.num_rows, nulls, low, high, None if distinct is None else len(set(distinct)), loads))
+                            candidates = _candidates(source, file, chunk, g, c) if dictionaries else None
+                            out.append((path, g, c, group.num_rows, nulls, low, high, candidates, loads))
             frame = pd.DataFrame(out, columns=["path", "row_group", "column_name", "rows", "nulls", "low", "high", "candidates", "loads"], dtype=object)
             yield frame
 
@@ -141,8 +184,8 @@ def chunk_statistics(df: DataFrame, columns: list[str], load: tuple[str, str] =
     """What the footers of a Parquet table's files say of each column chunk, read on the workers.
 
     (path, row_group, column_name, rows, nulls, low, high, candidates, loads): ``nulls`` and the extrema are null
-    where the footer has none, ``candidates`` is the number of distinct values in the chunk's dictionary where every
-    page uses it, ``loads`` names the chunk's load where its bounds show a single one. The footers' extrema leave
+    where the footer has none, ``candidates`` is the number of distinct values of the chunk (NaN is one, null none),
+    taken from its dictionary where every page uses it and counted from its values elsewhere, ``loads`` names the chunk's load where its bounds show a single one. The footers' extrema leave
     out NaN, so they bound the other values only.
     """
     spark = df.sparkSession

@@ -2,6 +2,10 @@ import math
 import random
 import statistics
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from skyfold.operators.profile import Usable, chunk_statistics, exact_medians, load_findings, profile_loads
 
 USABLE = [Usable("p", -50, 800), Usable("r", 0, 100, above=True)]
@@ -58,6 +62,16 @@ def test_footers_are_used_where_a_chunk_holds_one_load(spark, tmp_path):
     assert row["nulls"] == stats["p"]["nulls"]
 
 
+@pytest.mark.parametrize("options", [{}, {"use_dictionary": False}, {"dictionary_pagesize_limit": 2000, "write_batch_size": 100}, {"data_page_version": "2.0", "compression": "zstd"}])
+def test_candidates_of_large_and_partly_plain_chunks(spark, tmp_path, options):
+    rng = random.Random(3)
+    for n, kinds in ((1_000_000, 4000), (3000, 1500)):
+        values = [None, float("nan"), *(rng.randrange(kinds) / 4 for _ in range(n))]
+        pq.write_table(pa.table({"retrieval_id": pa.array([1] * len(values), pa.int32()), "load_no": pa.array([1] * len(values), pa.int32()), "p": values}), tmp_path / f"{n}.parquet", row_group_size=2_000_000, **options)
+        (row,) = chunk_statistics(spark.read.parquet(str(tmp_path / f"{n}.parquet")), ["p"]).collect()
+        assert row["candidates"] == len(set(values[2:])) + 1
+
+
 def test_medians_narrow_without_gathering(spark):
     rng = random.Random(4)
     data = [(1, 1, "a", v) for v in [rng.lognormvariate(0, 9) for _ in range(1001)]] + [(1, 2, "a", 3.0)] * 500 + [(2, 1, "a", 1.0), (2, 1, "a", 2.0)]
