@@ -97,7 +97,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     (doc_id, source, near_limit, in_lines, marked, ratio, goes_on, stops, ending): ``ratio`` is how much more often the final
     words go on than stop, against all words, the trigram's shares being smoothed by those of its last two and last;
     ``near_limit`` is 2 at the source's longest length, 1 within a twentieth of it, else 0; ``ending`` is one of ``open`` (an object without
-    its closing brace), ``word`` (a word that occurs only longer in this place), ``whole``, ``stop``, ``line`` (a
+    its closing brace), ``word`` (a word that occurs only longer in this place), ``whole`` (it ends on a closed object), ``stop``, ``line`` (a
     line that occurs as a whole line), ``next_line`` (a line always followed by another), ``comma``, ``bracket``
     (one left open), ``gram``,
     ``closer`` (a phrase that only ends texts) and ``unknown``. Trailing references in brackets and marks of
@@ -117,7 +117,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
         e as (select *, if(tail = 'mark' and regexp_replace(bare, '{_MARK}', '') != '', regexp_replace(bare, '{_MARK}', ''), core) as said from d),
         f as (select *, tail in ('mark', '') and said rlike '{_UNCLOSED}' as unclosed, {_marked("said")} as marked_end from e)
         select doc_id, source, md5(text) as text_key, char_length(text) as n_chars, octet_length(text) as n_bytes, body, tail, unclosed, right(core, 1) as last_char,
-          contains(body, '{{"') as structured, (length(body) - length(replace(body, '\n', ''))) * 120 > length(body) as in_lines, length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', '')) as is_open,
+          contains(body, '{{"') as structured, right(body, 1) = '}}' or right(body, 1) = ']' and (left(body, 1) = '[' or right(rtrim(left(body, length(body) - 1)), 1) = '}}') as is_closed, (length(body) - length(replace(body, '\n', ''))) * 120 > length(body) as in_lines, length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', '')) as is_open,
           {_tokens("marked_end")} as ending, {_tokens("element_at(split(marked_end, 'ⓝ'), -1)")} as last_line
         from f
         """,
@@ -127,7 +127,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
         _sql(
             spark,
             """
-            select doc_id, source, text_key, n_chars, n_bytes, tail, unclosed, last_char, structured, is_open, in_lines,
+            select doc_id, source, text_key, n_chars, n_bytes, tail, unclosed, last_char, structured, is_closed, is_open, in_lines,
               coalesce(translate(get(ending, size(ending) - 3), 'ⓢⓝ', ''), '^') as w1, coalesce(translate(get(ending, size(ending) - 2), 'ⓢⓝ', ''), '^') as w2,
               coalesce(translate(get(ending, size(ending) - 1), 'ⓢⓝ', ''), '') as w3,
               if(size(last_line) <= 8, translate(array_join(last_line, ' '), 'ⓢⓝ', ''), null) as line
@@ -167,7 +167,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
             (goes_on1 + 0.5) / (goes_on1 + stops1 + 1) as p1 from «met»),
         b as (select *, (goes_on + 5 * (goes_on2 + 5 * p1) / (goes_on2 + stops2 + 5)) / (goes_on + stops + 5) as p3, if(sure3, goes_on, goes_on2) as on_, if(sure3, stops, stops2) as off_, if(sure3, line_ends, line_ends2) as lines_, if(sure3, text_ends, text_ends2) as ends_ from a)
         select doc_id, source, near_limit, in_lines, tail = 'mark' as marked, least({_MOST_RATIO}, least(p3, 0.999999) / (1 - least(p3, 0.999999)) * {totals['stop_rate']!r}D) as ratio, on_ as goes_on, off_ as stops,
-          case when structured and is_open then 'open' when structured then 'whole' when tail = 'stop' and last_char != '.' then 'stop'
+          case when structured and is_open then 'open' when structured and is_closed then 'whole' when tail = 'stop' and last_char != '.' then 'stop'
             when cut3 or (not seen3 and cut2) then 'word' when tail = 'stop' then 'point' when unclosed then 'bracket' when tail = 'comma' then 'comma'
             when lines_ >= 20 and lines_ > 0.8 * (on_ + off_) and ends_ < 0.02 * lines_ then 'next_line'
             when whole_lines >= 2 and longer_lines < 0.2 * whole_lines then 'line' when on_ + off_ >= 3 then 'gram' when text_ends >= 3 and tail != '' or text_ends >= 3 and goes_on1 + stops1 = 0 then 'closer' when goes_on1 + stops1 >= 10 then 'gram' else 'unknown' end as ending

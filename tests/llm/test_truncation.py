@@ -44,3 +44,11 @@ def test_odd_texts(spark):
     assert 1000 not in got and 1001 not in got and 1002 not in got
     assert got[1005] is False and got[1006] is True and got[1011] is False
     assert truncated(frame(spark, [])).count() == 0
+
+
+def test_cut_after_a_quoted_object_or_with_a_brace_in_a_string(spark):
+    docs, _ = corpus(200)
+    begun = f"{SUBJECTS[0].capitalize()} {VERBS[0][:-3]}"  # inside the last word
+    odd = ['Seen: {"a": 1}. ' + begun, '{"a": "} ' + begun, 'Seen: {"a": 1}. ' + begun + "get within the errors.", 'Seen: {"a": 1}', '[{"a": 1}, {"b": 2}]']
+    got = {r["doc_id"]: r["is_truncated"] for r in truncated(frame(spark, docs + [(1000 + i, t, "free") for i, t in enumerate(odd)])).collect()}
+    assert [got[1000 + i] for i in range(5)] == [True, True, False, False, False]
