@@ -114,8 +114,8 @@ def survivors(df: DataFrame, key: Column, fields: list[Field], *, source: str, t
 
     Records with fewer than two rows are no duplicates and left out, as are fields without a usable value. Where a
     declared trust in sources exists (``trust``: source_code, trust_rank; 1 is the most trusted, sources not in it
-    come last) it goes first, then the latest ``updated`` (null last), then the probability that the value is true
-    where rows tie in both and no smaller ``row_id`` decides; ``probability`` is the model's for the value that
+    come last) it goes first, then the latest ``updated`` (null last), then the least ``row_id``, and the least value
+    where rows share that too. The model has no say in the choice: ``probability`` is its judgement of the value that
     survives. Null keys, blanks and ``-`` are no record. Repeated rows count as rows.
     """
     order = trust.select(F.lower(strip("source_code")).alias("_code"), F.col("trust_rank").cast("int").alias("_rank")).groupBy("_code").agg(F.min("_rank").alias("_rank"))
