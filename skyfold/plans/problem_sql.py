@@ -65,4 +65,20 @@ union all select retrieval_id, load_no, column_name, 'bad_values' from j where b
 union all select retrieval_id, load_no, column_name, 'constant_fill' from j where top_share is not null
 """
 
-SQL = {"p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": f"select * replace (round(median, 9) as median) from ({P7_PROFILE})", "p7_found": P7}
+P7_DIFFERENT = f"""
+with d as (select retrieval_id, load_no, unnest(['parallax', 'ruwe', 'distance_gspphot']) column_name, unnest([parallax, ruwe, distance_gspphot]) v from gaia)
+select p.* replace (round(median, 9) as median), n different
+from ({P7_PROFILE}) p join (select retrieval_id, load_no, column_name, count(distinct v) n from d group by all) using (retrieval_id, load_no, column_name)
+"""
+
+P7_COLUMNS = """
+with d as (select unnest(['parallax', 'ruwe', 'distance_gspphot']) column_name, unnest([parallax, ruwe, distance_gspphot]) v from gaia)
+select column_name, count(*) as rows, count(*) - count(v) nulls, min(v) filter (where not isnan(v)) least, max(v) filter (where not isnan(v)) most, count(distinct v) different from d group by 1
+"""
+
+P7_PATTERNS = """
+with d as (select retrieval_id, load_no, 'designation' column_name, designation t, 'Gaia DR3 [0-9]+' p from gaia union all select retrieval_id, load_no, 'phot_variable_flag', phot_variable_flag, 'VARIABLE|CONSTANT|NOT_AVAILABLE' from gaia)
+select retrieval_id, load_no, column_name, count(*) as rows, count(*) - count(t) nulls, count(*) filter (where not regexp_full_match(t, p)) violations, violations / nullif(count(t), 0) violation_share from d group by all
+"""
+
+SQL = {"p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": P7_DIFFERENT, "p7_columns": P7_COLUMNS, "p7_patterns": P7_PATTERNS, "p7_found": P7}

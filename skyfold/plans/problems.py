@@ -9,7 +9,7 @@ from skyfold.functions.names import search_key
 from skyfold.functions.text import plain_decimal, strip
 from skyfold.operators.nearby import pairs_within
 from skyfold.operators.orphans import Reference, Target, orphan_references
-from skyfold.operators.profile import Usable, chunk_statistics, load_findings, profile_loads
+from skyfold.operators.profile import Usable, chunk_statistics, column_profile, load_findings, pattern_profile, profile_loads
 from skyfold.operators.rejects import CheckedId, CheckedNumber, loaded_lines, rejected_lines
 from skyfold.operators.snapshot_diff import snapshot_changes
 from skyfold.sources.schemas import PSCOMPPARS
@@ -63,7 +63,15 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_loads(table(spark, sf_dir, "gaia"), USABLE).withColumn("median", F.round("median", 9))
+    return profile_loads(table(spark, sf_dir, "gaia"), USABLE, different=True).withColumn("median", F.round("median", 9))
+
+
+def p7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_profile(table(spark, sf_dir, "gaia"), [u.column for u in USABLE]).drop("chunks", "read_chunks")
+
+
+def p7_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_profile(table(spark, sf_dir, "gaia"), {"designation": "Gaia DR3 [0-9]+", "phot_variable_flag": "VARIABLE|CONSTANT|NOT_AVAILABLE"})
 
 
 def p7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +83,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_findings(profile_loads(table(spark, sf_dir, "gaia"), USABLE))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p6_found, p6_loaded, p7_profile, p7_found, p7_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p6_found, p6_loaded, p7_profile, p7_columns, p7_patterns, p7_found, p7_chunks)}

@@ -6,7 +6,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from skyfold.operators.profile import Usable, chunk_statistics, exact_medians, load_findings, profile_loads
+from pyspark.sql import functions as F
+
+from skyfold.operators.profile import Usable, chunk_statistics, column_profile, distinct_values, exact_medians, load_findings, pattern_profile, profile_loads
 
 USABLE = [Usable("p", -50, 800), Usable("r", 0, 100, above=True)]
 
@@ -31,15 +33,16 @@ def make(seed=1):
 
 def test_against_brute_force(spark, tmp_path):
     data = make()
-    got = {(r["load_no"], r["column_name"]): r for r in profile_loads(write(spark, data, str(tmp_path / "t"), 3), USABLE).collect()}
-    assert len(got) == 6 or len(got) == 8
-    for load in (1, 2, 3):
+    got = {(r["load_no"], r["column_name"]): r for r in profile_loads(write(spark, data, str(tmp_path / "t"), 3), USABLE, different=True).collect()}
+    assert len(got) == 8
+    for load in (1, 2, 3, None):
         for u, i in zip(USABLE, (2, 3)):
             values = [d[i] for d in data if d[1] == load]
             ok = [v for v in values if v is not None and not math.isnan(v) and (u.low < v if u.above else u.low <= v) and v <= u.high]
             row = got[load, u.column]
             assert (row["rows"], row["nulls"], row["usable"], row["bad"]) == (157, sum(v is None for v in values), len(ok), len([v for v in values if v is not None]) - len(ok))
             assert row["median"] == statistics.median(ok) and (row["least"], row["most"]) == (min(ok), max(ok))
+            assert row["different"] == len({str(v) for v in values if v is not None})
             most = max(ok.count(v) for v in set(ok))
             assert (row["top_share"] is not None) == (most > 0.25 * len(ok))
     assert got[3, "r"]["top_value"] == 1.25
@@ -75,12 +78,33 @@ def test_candidates_of_large_and_partly_plain_chunks(spark, tmp_path, options):
 def test_medians_narrow_without_gathering(spark):
     rng = random.Random(4)
     data = [(1, 1, "a", v) for v in [rng.lognormvariate(0, 9) for _ in range(1001)]] + [(1, 2, "a", 3.0)] * 500 + [(2, 1, "a", 1.0), (2, 1, "a", 2.0)]
-    values = spark.createDataFrame(data, "retrieval_id int, load_no int, column_name string, v double")
-    extent = values.groupBy("retrieval_id", "load_no", "column_name").agg({"v": "min"}).withColumnRenamed("min(v)", "low")
-    extent = extent.join(values.groupBy("retrieval_id", "load_no", "column_name").agg({"v": "max", "*": "count"}).withColumnRenamed("max(v)", "high").withColumnRenamed("count(1)", "n"), ["retrieval_id", "load_no", "column_name"])
-    got = {(r["retrieval_id"], r["load_no"]): r["median"] for r in exact_medians(values, extent, bins=8, most_inside=3).collect()}
-    assert got == {(1, 1): statistics.median(d[3] for d in data[:1001]), (1, 2): 3.0, (2, 1): 1.5}
+    data += [(2, 2, "a", v) for v in [1.0] * 6 + [2.0] * 6] + [(2, 3, "a", v) for v in [-1e308] * 9 + [1e308] * 9 + [5e-324] * 2] + [(2, 4, "a", v) for v in [1.0] * 7 + [math.nextafter(1, 2)] * 7 + [9.0] * 9 + [-9.0] * 9]
+    values = spark.createDataFrame(data, "a int, b int, c string, v double").select(F.struct("a", "b", "c").alias("key"), "v")
+    parts = values.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
+    got = {tuple(r["key"])[:2]: r["median"] for r in exact_medians(values, parts, bins=8, most_inside=3).collect()}
+    assert got == {(1, 1): statistics.median(d[3] for d in data[:1001]), (1, 2): 3.0, (2, 1): 1.5, (2, 2): 1.5, (2, 3): 5e-324, (2, 4): statistics.median([1.0, math.nextafter(1, 2)])}
+
+
+def test_columns_read_only_chunks_that_need_it(spark, tmp_path):
+    whole = pa.table({"retrieval_id": pa.array([1] * 400, pa.int32()), "load_no": pa.array([1] * 200 + [2] * 200, pa.int32()), "p": [None, float("nan"), *(float(i % 50) for i in range(398))]})
+    for name, options in (("footers", {}), ("plain", {"use_dictionary": False}), ("bare", {"write_statistics": False})):
+        path = str(tmp_path / f"{name}.parquet")
+        pq.write_table(whole, path, row_group_size=200, **options)
+        df = spark.read.parquet(path)
+        (row,) = column_profile(df, ["p"]).collect()
+        assert (row["rows"], row["nulls"], row["least"], row["most"], row["different"]) == (400, 1, 0.0, 49.0, 51)
+        assert (row["chunks"], row["read_chunks"]) == (2, 0 if name == "footers" else 2)
+        assert distinct_values(df, ["p"]).where("from_dictionary").isEmpty() == (name != "footers")
+        counts = {(r["load_no"]): r["n"] for r in distinct_values(df, ["p"]).groupBy("load_no").agg(F.count_distinct("v").alias("n")).collect()}
+        assert counts == {1: 51, 2: 50}
+
+
+def test_patterns(spark):
+    df = spark.createDataFrame([(1, 1, "ab1"), (1, 1, None), (1, 1, "ab"), (1, 1, "ab1\n"), (1, None, None), (1, 2, "")], "retrieval_id int, load_no int, t string")
+    got = {r["load_no"]: tuple(r)[3:] for r in pattern_profile(df, {"t": "ab|ab[0-9]"}).collect()}
+    assert got == {1: (4, 1, 1, 1 / 3), None: (1, 1, 0, None), 2: (1, 0, 1, 1.0)}
+    assert pattern_profile(df.limit(0), {"t": "a"}).count() == 0
 
 
 def test_empty(spark, tmp_path):
-    assert profile_loads(write(spark, [], str(tmp_path / "e")), USABLE).count() == 0
+    assert profile_loads(write(spark, [], str(tmp_path / "e")), USABLE, different=True).count() == 0
