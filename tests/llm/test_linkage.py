@@ -54,3 +54,64 @@ def test_hot_values_lose_no_pair_that_agrees_nowhere_else(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(spark, [], [("a", "HIP 5", None, "x 1", "1.0", "1.0", None)]) == {} and found(spark, HOSTS, []) == {}
+
+
+def test_close_texts_are_all_close_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [(rng.choice(["velar", "tkv", "o", "", "εri"]) + "".join(rng.choice("0123") for _ in range(rng.randint(0, 5)))) or "x" for _ in range(300)] + ["a", "b", "a" * 300, "a" * 301, "velar99bc"]
+    left, right = (spark.createDataFrame([(t,) for t in part] + [(None,)], "text string") for part in (texts[:180], texts[120:]))
+    got = {tuple(r) for r in linkage.close_texts(left, right).collect()}
+    bits = {r["text"]: {64 * k + i for k in (0, 1) for i in range(64) if r["b"][k] >> i & 1} for r in left.union(right).where("text is not null").select("text", linkage._bits(F.col("text")).alias("b")).collect()}
+    want = {(a, b) for a in set(texts[:180]) for b in set(texts[120:]) if bits[a] != bits[b] and len(bits[a] - bits[b]) <= 2 and len(bits[b] - bits[a]) <= 2}
+    assert got == want and len(want) > 100
+    one_off = [("velar12345", "velar12745"), ("velar12345", "velar1245"), ("velar1245", "velar12345"), ("tkv7", "tkv9"), ("quenby5", "quembyn5")]
+    pairs = {tuple(r) for r in linkage.close_texts(spark.createDataFrame(one_off[:4], "text string, b string"), spark.createDataFrame([(b,) for _, b in one_off[:4]], "text string")).collect()}
+    assert set(one_off[:4]) <= pairs
+
+
+def test_one_wrong_letter_everywhere_and_no_position(spark):
+    import random
+
+    rng = random.Random(5)
+    numbers = [(rng.randint(10000, 89999), rng.randint(10000, 89999)) for _ in range(200)]
+    hosts = HOSTS + [(f"Mirsat {2000 + i}", f"HIP {a}", f"HD {b}", None, None, 100.0 + i) for i, (a, b) in enumerate(numbers)]
+    other = lambda n: str(n)[:2] + str((n // 100 + 5) % 10) + str(n)[3:]
+    stars = [("typos", other(numbers[50][0]), other(numbers[50][1]), "Mirsat 2950", None, None, str(150.2 * LY))] + [(f"m{i}", str(numbers[i][0]), str(numbers[i][1]), f"Mirsat {2000 + i}", None, None, None) for i in range(100, 160)]
+    got = found(spark, hosts, stars)
+    assert ("mirsat2050", "typos") in got and len(got) == 61
+
+
+def test_confidence_is_calibrated_on_planted_pairs(spark):
+    """Of the pairs of each confidence about as many are true; stars are corrupted copies of hosts, and strangers."""
+    import random
+
+    rng = random.Random(11)
+    hosts, stars, truth = [], [], {}
+    wrong = lambda s: s[:-2] + rng.choice("0123456789") + s[-1]
+    for i in range(1000):
+        row = [f"{rng.choice(['Velar', 'TKV', 'Ogr', 'Mirsat'])} {rng.randint(1000, 9999)}", str(rng.randint(1000, 90000)), str(rng.randint(1000, 90000)), rng.uniform(0, 360), rng.uniform(-80, 80), rng.uniform(10, 900)]
+        hosts.append((row[0], f"HIP {row[1]}", f"HD {row[2]}", *row[3:]))
+        if i % 2:
+            keep = lambda v, p, bad: None if rng.random() < p else wrong(v) if rng.random() < bad else v  # noqa: E731, B023
+            spot = rng.random()
+            ra, dec = (row[3], row[4] + rng.choice([0, 1, 3]) / 3600) if spot < 0.6 else (row[3], row[4] + rng.uniform(-15, 15) / 3600) if spot < 0.8 else (None, None)
+            stars.append((f"s{i}", keep(row[1], 0.5, 0.2), keep(row[2], 0.6, 0.2), keep(row[0], 0.4, 0.15), str(ra), str(dec), str(row[5] * rng.uniform(0.9, 1.1) * LY) if rng.random() < 0.8 else None))
+            truth[f"s{i}"] = linkage_key(row[0])
+        else:
+            stars.append((f"n{i}", str(rng.randint(1000, 90000)), None, f"{rng.choice(['Velar', 'TKV'])} {rng.randint(1000, 9999)}" if i % 4 else None, str(row[3]), str(row[4] + rng.uniform(-30, 30) / 3600), str(rng.uniform(10, 900) * LY)))
+    got = found(spark, hosts, stars, least=0.0)
+    table = {}
+    for (host, star), c in got.items():
+        table.setdefault(min(9, int(c * 10)), []).append((c, truth.get(star) == host))
+    rows = {k: (len(v), sum(c for c, _ in v) / len(v), sum(t for _, t in v) / len(v)) for k, v in sorted(table.items())}
+    print(rows)
+    gap = sum(n * abs(c - t) for n, c, t in rows.values()) / sum(n for n, _, _ in rows.values())
+    assert gap < 0.06 and rows[9][2] > 0.97 and rows[0][2] < 0.1
+
+
+def linkage_key(name):
+    return "".join(filter(str.isalnum, name.lower()))
