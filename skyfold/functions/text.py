@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # White space of Unicode; F.trim takes U+0020 only.
 _SPACE = r"[\s\u00a0\u200b\ufeff\x1c-\x1f]"
 # The trailing run is tried from its first character only: long runs inside a text cost no more than their length.
-_EDGES = rf"(?U)\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z"
+_EDGES = rf"(?U)\A{_SPACE}++|(?={_SPACE})(?<!{_SPACE}){_SPACE}++\z"
 
 
 def strip(column: Column | str) -> Column:
