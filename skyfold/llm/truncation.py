@@ -12,23 +12,29 @@ from skyfold.session import materialize, spread
 _CLOSERS = "\"”’')\\]»}"
 _STOPS = ".!?…。！？"
 # A stop that ends a token becomes ⓢ, a line break ⓝ; other marks at the edges of a token vanish, numbers are all 0.
+# The look-ahead that begins a pattern is the cheap test that fails at most characters.
 _STEPS = [
     (r"[0-9]++(?:[.,:/][0-9]++)*+", "0"),
     (r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}])", " $1 "),
     (r" ++([。！？、」])", "$1 "),
-    (r" *+\n[\n ]*+", "ⓝ "),
-    (rf"(?<![.,;:!?…。！？、—{_CLOSERS}])[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*+(?=ⓝ?+(?: |\z))", "ⓢ"),
-    (rf"(?<![.,;:、—({_CLOSERS}])[.,;:、—({_CLOSERS}]++(?=ⓝ?+(?: |\z))", ""),
-    (r"(?<![^ ])[\"“'(¿¡«\[]++", ""),
+    (r"(?=[ \n])(?<! ) *+\n[\n ]*+", "ⓝ "),
+    (rf"(?=[.,;:!?…。！？、—{_CLOSERS}])(?<![.,;:!?…。！？、—{_CLOSERS}])[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*+(?=ⓝ?+(?: |\z))", "ⓢ"),
+    (rf"(?=[.,;:、—({_CLOSERS}])(?<![.,;:、—({_CLOSERS}])[.,;:、—({_CLOSERS}]++(?=ⓝ?+(?: |\z))", ""),
+    (r"(?=[\"“'(¿¡«\[])(?<![^ ])[\"“'(¿¡«\[]++", ""),
     (r" ++(?=[ⓢⓝ ])", ""),
 ]
 # All white space of Unicode becomes a plain space or line break first, so that the patterns need no Unicode classes.
 _SPACES, _BREAKS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", "\r\x85\u2028\u2029"
 
 
-def _marked(text: str) -> str:
-    """SQL of a text with its tokens normalised and stops marked."""
-    sql = f"translate(lower({text}), '{_SPACES}{_BREAKS}', '{' ' * len(_SPACES)}{chr(10) * len(_BREAKS)}')"
+def _plain(text: str) -> str:
+    """SQL of a text in lower case, all its white space being spaces and line breaks."""
+    return f"translate(lower({text}), '{_SPACES}{_BREAKS}', '{' ' * len(_SPACES)}{chr(10) * len(_BREAKS)}')"
+
+
+def _marked(plain: str) -> str:
+    """SQL of a plain text with its tokens normalised and stops marked."""
+    sql = plain
     for pattern, by in _STEPS:
         pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
         sql = f"regexp_replace({sql}, '{pattern}', '{by}')"
@@ -42,6 +48,10 @@ def _tokens(marked: str) -> str:
 # Runs are tried from their first character only, so that long ones cost no more than their length.
 _GROUPS = r"(?U)(?<!\\s)(?:\\s*+[\\[(][^\\[\\]()]{1,40}+[\\])])++\\s*+$"
 _CLOSED = "(?<![\"”’\\')\\\\]»}])[\"”’\\')\\\\]»}]++$"
+_CLOSER_LIST = "\"”’\\')]»}"
+# Words that are looked at for a text's end, twice as many as a line is compared by; where white space or marks in
+# long runs leave fewer than that without the margin, the whole text is.
+_TAIL = 16
 _MOST_RATIO = 200  # no trigram, however common, counts for more
 _UNCLOSED = r"[\\[(][^\\[\\]()]{0,40}$"
 _MARK = r"(?U)(?<!\\s)(?:\\s*+(?:\\.\\.\\.|…|\\x{fffd}))++\\s*+$"
@@ -65,8 +75,8 @@ def _counts(texts: DataFrame) -> DataFrame:
         texts,
         """
         with g as (select inline(concat(
-            transform(tokens, (t, i) -> struct(coalesce(translate(get(tokens, i - 2), 'ⓢⓝ', ''), '^') as w1, coalesce(translate(get(tokens, i - 1), 'ⓢⓝ', ''), '^') as w2,
-              translate(t, 'ⓢⓝ', '') as w3, contains(t, 'ⓢ') as stop, contains(t, 'ⓝ') as line, i = size(tokens) - 1 as final)),
+            transform(tokens, (t, i) -> struct(coalesce(get(words, i - 2), '^') as w1, coalesce(get(words, i - 1), '^') as w2,
+              words[i] as w3, contains(t, 'ⓢ') as stop, contains(t, 'ⓝ') as line, i = size(tokens) - 1 as final)),
             flatten(transform(filter(transform(split(translate(marked, 'ⓢ', ''), 'ⓝ'), l -> filter(split(l, ' '), t -> t != '')), l -> size(l) > 0), l ->
               transform(sequence(1, least(8, size(l))), k -> struct(string(null) as w1, string(null) as w2, array_join(slice(l, 1, k), ' ') as w3, k = size(l) as stop, false as line, false as final))))
             )) from «texts»)
@@ -101,25 +111,30 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     line that occurs as a whole line), ``next_line`` (a line always followed by another), ``comma``, ``bracket``
     (one left open), ``gram``,
     ``closer`` (a phrase that only ends texts) and ``unknown``. Trailing references in brackets and marks of
-    omission are set aside first. Counts leave out repeated deliveries of a text.
+    omission are set aside first. Counts leave out deliveries of a text under
+    another id, but not rows that repeat id and text.
     """
     spark = documents.sparkSession
     plain = spread(documents.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string")))
     docs = plain.withColumn("body", strip("text")).where("body != ''")
+    bodies = docs.select("doc_id", "body")
     docs = _sql(
         spark,
         rf"""
-        with a as (select *, regexp_replace(body, '{_GROUPS}', '') as shorn from «docs»),
+        with a as (select *, if(right(body, 1) in (']', ')'), regexp_replace(body, '{_GROUPS}', ''), body) as shorn from «docs»),
         b as (select *, if(shorn = '', body, shorn) as core from a),
-        c as (select *, regexp_replace(core, '{_CLOSED}', '') as bare from b),
+        c as (select *, if(locate(right(core, 1), '{_CLOSER_LIST}') > 0, regexp_replace(core, '{_CLOSED}', ''), core) as bare from b),
         d as (select *, case when right(bare, 3) = '...' or right(bare, 1) in ('…', '�') then 'mark' when right(bare, 1) in ('.', '!', '?', '。', '！', '？') then 'stop'
             when right(core, 1) in (',', ';', ':', '(', '—', '、') then 'comma' else '' end as tail from c),
         e as (select *, if(tail = 'mark' and regexp_replace(bare, '{_MARK}', '') != '', regexp_replace(bare, '{_MARK}', ''), core) as said from d),
-        f as (select *, tail in ('mark', '') and said rlike '{_UNCLOSED}' as unclosed, {_marked("said")} as marked_end from e)
+        f as (select *, tail in ('mark', '') and right(said, 41) rlike '{_UNCLOSED}' as unclosed, {_plain("said")} as plain from e),
+        g as (select *, substring_index(plain, ' ', -{_TAIL}) as last_part from f),
+        h as (select *, {_marked("last_part")} as marked_part from g),
+        i as (select *, if(length(last_part) = length(plain) or size({_tokens("marked_part")}) >= {_TAIL} - 4, marked_part, {_marked("plain")}) as marked_end from h)
         select doc_id, source, md5(text) as text_key, char_length(text) as n_chars, octet_length(text) as n_bytes, body, tail, unclosed, right(core, 1) as last_char,
           contains(body, '{{"') as structured, right(body, 1) = '}}' or right(body, 1) = ']' and (left(body, 1) = '[' or right(rtrim(left(body, length(body) - 1)), 1) = '}}') as is_closed, (length(body) - length(replace(body, '\n', ''))) * 120 > length(body) as in_lines, length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', '')) as is_open,
           {_tokens("marked_end")} as ending, {_tokens("element_at(split(marked_end, 'ⓝ'), -1)")} as last_line
-        from f
+        from i
         """,
         docs=docs,
     )
@@ -136,8 +151,13 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
             docs=docs,
         )
     )
-    texts = _sql(spark, f"select {_marked('body')} as marked from (select first(body) as body from «docs» group by text_key)", docs=docs)
+    # Texts are not moved to tell repeated deliveries: their digests are, and the few ids to leave out.
+    first = _sql(spark, "select text_key, min(doc_id) as doc_id from «f» group by 1 having count(*) > 1", f=finals)
+    repeats = _sql(spark, "select distinct f.doc_id from «f» f join «r» r on f.text_key = r.text_key where f.doc_id != r.doc_id", f=finals, r=first)
+    kept = bodies.join(broadcast_checked(materialize(repeats), 1_000_000), "doc_id", "left_anti")
+    texts = _sql(spark, f"select {_marked(_plain('body'))} as marked from «k»", k=kept)
     texts = _sql(spark, f"select marked, {_tokens('marked')} as tokens from «texts»", texts=texts)
+    texts = _sql(spark, "select marked, tokens, transform(tokens, t -> translate(t, 'ⓢⓝ', '')) as words from «texts»", texts=texts)
     everything = materialize(_counts(texts))
     counts = everything.where("w1 is not null")
     totals = _sql(spark, "select greatest(sum(stops), 1) / greatest(sum(goes_on), 1) as stop_rate from «c»", c=counts).first()

@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from skyfold.llm.resolution import Field, claims, facts, learn_quality, survivors, truths
+from skyfold.llm.resolution import Field, claims, facts, judged_survivors, learn_quality, survivors, truths
 
 SCHEMA = "host string, source string, at timestamp_ntz, row long, v double, w double, value string, rows int"
 FIELDS = [Field("v", 0, 100), Field("w", -5, 5)]
@@ -19,7 +19,6 @@ def trust(spark):
 
 def chosen(spark, rows):
     got = survivors(frame(spark, rows), F.col("host"), FIELDS, source="source", trust=trust(spark), updated="at", row_id="row").collect()
-    assert all(0 <= r["probability"] <= 1 for r in got)
     return {(r["record_key"], r["field_name"]): (r["row_id"], r["value"]) for r in got}
 
 
@@ -59,6 +58,10 @@ def test_quality_is_learned_and_several_values_kept(spark):
     quality = learn_quality(facts(claims(df, F.col("host"), FIELDS, "source")))
     assert quality.sensitivity["v|sharp"] > 0.8 > 0.6 > quality.sensitivity["v|wild"]
     assert quality.false_positive["v|wild"] > 0.5 > quality.false_positive["v|sharp"]
+    spread = learn_quality(facts(claims(df, F.col("host"), FIELDS, "source")), most_patterns=3)
+    assert all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(vars(quality).values(), vars(spread).values()) for k in a) and vars(quality).keys() == vars(spread).keys()
+    chosen_too = judged_survivors(df, F.col("host"), FIELDS, source="source", trust=trust(spark), updated="at", row_id="row").collect()
+    assert all(0 <= r["probability"] <= 1 and r["best_value"] is not None for r in chosen_too) and len(chosen_too) > 300
     judged = truths(df, F.col("host"), FIELDS, "source").collect()
     right = sum(((r["record_key"], r["value"]) in real) == (r["probability"] >= 0.5) for r in judged)
     assert right / len(judged) > 0.93
