@@ -13,7 +13,10 @@ _EDGES = rf"(?U)\A{_SPACE}++|(?={_SPACE})(?<!{_SPACE}){_SPACE}++\z"
 
 def strip(column: Column | str) -> Column:
     """Without Unicode white space at either end; null stays null."""
-    return F.regexp_replace(column, _EDGES, "")
+    text = F.col(column) if isinstance(column, str) else column
+    # texts that have none there, however long, are not searched
+    edges = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(edges.rlike(f"(?U){_SPACE}"), F.regexp_replace(text, _EDGES, "")).otherwise(text)
 
 
 def plain_decimal(column: Column | str) -> Column:
