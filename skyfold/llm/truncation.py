@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ _STOPS = ".!?…。！？"
 # A stop that ends a token becomes ⓢ, a line break ⓝ; other marks at the edges of a token vanish, numbers are all 0.
 # The look-ahead that begins a pattern is the cheap test that fails at most characters.
 _STEPS = [
-    (r"[0-9]++(?:[.,:/][0-9]++)*+", "0"),
     (r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}])", " $1 "),
     (r" ++([。！？、」])", "$1 "),
+    (r"[0-9]++(?:[.,:/][0-9]++)*+", "0"),
     (r"(?=[ \n])(?<! ) *+\n[\n ]*+", "ⓝ "),
     (rf"(?=[.,;:!?…。！？、—{_CLOSERS}])(?<![.,;:!?…。！？、—{_CLOSERS}])[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*+(?=ⓝ?+(?: |\z))", "ⓢ"),
     (rf"(?=[.,;:、—({_CLOSERS}])(?<![.,;:、—({_CLOSERS}])[.,;:、—({_CLOSERS}]++(?=ⓝ?+(?: |\z))", ""),
@@ -34,11 +36,11 @@ def _plain(text: str) -> str:
 
 def _marked(plain: str) -> str:
     """SQL of a plain text with its tokens normalised and stops marked."""
-    sql = plain
-    for pattern, by in _STEPS:
-        pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        sql = f"regexp_replace({sql}, '{pattern}', '{by}')"
-    return f"trim({sql})"
+    quoted = [(pattern.replace("\\", "\\\\").replace("'", "\\'"), by) for pattern, by in _STEPS]
+    replaced = lambda sql, steps: reduce(lambda s, step: f"regexp_replace({s}, '{step[0]}', '{step[1]}')", steps, sql)
+    # the steps for scripts without spaces have nothing to do in texts of ASCII
+    parted = f"if(octet_length({plain}) = char_length({plain}), {plain}, {replaced(plain, quoted[:2])})"
+    return f"trim({replaced(parted, quoted[2:])})"
 
 
 def _tokens(marked: str) -> str:
@@ -155,7 +157,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     first = _sql(spark, "select text_key, min(doc_id) as doc_id from «f» group by 1 having count(*) > 1", f=finals)
     repeats = _sql(spark, "select distinct f.doc_id from «f» f join «r» r on f.text_key = r.text_key where f.doc_id != r.doc_id", f=finals, r=first)
     kept = bodies.join(broadcast_checked(materialize(repeats), 1_000_000), "doc_id", "left_anti")
-    texts = _sql(spark, f"select {_marked(_plain('body'))} as marked from «k»", k=kept)
+    texts = _sql(spark, f"select {_marked('plain')} as marked from (select {_plain('body')} as plain from «k»)", k=kept)
     texts = _sql(spark, f"select marked, {_tokens('marked')} as tokens from «texts»", texts=texts)
     texts = _sql(spark, "select marked, tokens, transform(tokens, t -> translate(t, 'ⓢⓝ', '')) as words from «texts»", texts=texts)
     everything = materialize(_counts(texts))
