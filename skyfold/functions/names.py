@@ -41,13 +41,15 @@ def _fold_all(texts: Iterable[str | None]) -> list[str | None]:
 
 
 def search_key(column: Column | str) -> Column:
-    """Search key of a text column; null stays null, a text of marks only gives ''."""
+    """Search key of a text column; null stays null, a text of marks only gives ''. Texts of ASCII do not leave the JVM."""
+    text = F.col(column) if isinstance(column, str) else column
+    plain = F.octet_length(text) == F.char_length(text)
 
     @F.pandas_udf(T.StringType())
     def key(texts: pd.Series) -> pd.Series:
         return pd.Series(_fold_all(texts), dtype=object)
 
-    return key(column)
+    return F.when(plain, ascii_search_key(text)).otherwise(key(F.when(~plain, text)))
 
 
 def ascii_search_key(column: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.names import designation_aliases, parse_designation, search_key
-from skyfold.operators.rank import first_per_key
+from skyfold.operators.rank import first_per_key, numbered_batches
 
 # Which kind of name is shown first.
 PRIORITY = {"iau_proper_name": 1, "nasa_host_name": 2, "simbad_main": 3, "hd": 4, "hip": 5, "other_catalogue": 6, "gaia_dr3": 7}
@@ -53,3 +53,18 @@ def link_hosts(stars: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame
     keys = stars.select("star_id", F.col("name_key").alias("host_key"))
     unmatched = keyed.join(keys, "host_key", "left_anti").withColumn("review_reason", F.lit("host name not found in canonical stars"))
     return keyed.join(keys, "host_key"), unmatched
+
+
+def build_name_table(stars: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name_index, entity_type, entity_id, display_name, name_source, aliases, label_priority), an entity a row, numbered from 0 by its id.
+
+    The name source and priority are those of the entity's first alias; the other names come in their order of priority.
+    """
+    best = F.struct(F.col("priority"), F.col("catalogue"), F.col("alias"))
+    grouped = aliases.groupBy("star_id").agg(F.array_sort(F.collect_set(best)).alias("names"))
+    joined = stars.select("star_id", "object_type", "canonical_display_name").join(grouped, "star_id", "left")
+    numbered = numbered_batches(joined, "star_id", 1).select("star_id", (F.col("batch_number") - 1).alias("name_index"))
+    return joined.join(numbered, "star_id").select(
+        "name_index", F.col("object_type").alias("entity_type"), F.col("star_id").alias("entity_id"), F.col("canonical_display_name").alias("display_name"), F.get("names", F.lit(0))["catalogue"].alias("name_source"),
+        F.coalesce(F.transform("names", lambda n: n["alias"]), F.array().cast("array<string>")).alias("aliases"), F.get("names", F.lit(0))["priority"].alias("label_priority"),
+    )

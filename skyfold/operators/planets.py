@@ -11,6 +11,13 @@ from skyfold.operators.rank import non_null_count
 STELLAR = ["stellar_temperature_k", "stellar_mass_solar", "stellar_radius_solar", "stellar_luminosity_log_solar"]
 
 
+# The sentences given to rows for review.
+CONFLICT_REASON = "stellar properties differ between planet rows"
+COUNT_REASON = "archive system planet count differs from rows grouped by exact host name"
+
+_HOST_VALUES = ["hd_name", "hip_name", "tic_id", "gaia_dr3_designation", "gaia_source_id", "ra_deg", "dec_deg", "system_distance_pc", "star_count", "planet_count", "is_circumbinary", *STELLAR]
+
+
 def entity_id(kind: str, name: str) -> Column:
     return F.concat(F.lit(f"nea:{kind}:"), search_key(name))
 
@@ -22,34 +29,34 @@ def invalid_rows(staged: DataFrame, reason: str) -> DataFrame:
 
 def build_planets(staged: DataFrame) -> DataFrame:
     """One record per valid row."""
-    ids = {"planet_id": entity_id("planet", "planet_name"), "system_id": entity_id("system", "host_name"), "host_id": entity_id("host", "host_name")}
-    return staged.where("is_valid").withColumns(ids).select(
-        *ids, "planet_name", "planet_letter", "radius_earth", "mass_earth", "mass_provenance", "density_g_cm3", "equilibrium_temperature_k", "insolation_earth", "orbital_period_days",
+    keyed = staged.where("is_valid").withColumns({"planet_id": entity_id("planet", "planet_name"), "_host": search_key("host_name")})
+    return keyed.select(
+        "planet_id", F.concat(F.lit("nea:system:"), "_host").alias("system_id"), F.concat(F.lit("nea:host:"), "_host").alias("host_id"), "planet_name", "planet_letter", "radius_earth", "mass_earth", "mass_provenance",
+        "density_g_cm3", "equilibrium_temperature_k", "insolation_earth", "orbital_period_days",
         "semi_major_axis_au", "eccentricity", "inclination_deg", "discovery_method", "discovery_year", "discovery_facility", "is_controversial", "source",
     ).orderBy("planet_name")
 
 
 def _candidates(staged: DataFrame) -> DataFrame:
-    """Valid rows with their host, its chosen row's name, and how many stellar values differ, in one window pass.
+    """Valid rows with their host, its chosen row's name, and how many stellar values of the host's spelling differ.
 
-    The chosen row is the most complete one, the first by planet name among equals; hosts whose keys collide are
-    one host, so the join by host cannot fan out.
+    The chosen row is the most complete one, the first by planet name among equals; the other values of the host
+    settle what is left, so that repeated rows give the same record every time. Hosts whose keys collide are one
+    host, whose spellings are counted apart.
     """
     rows = staged.where("is_valid").withColumns({"host_id": entity_id("host", "host_name"), "stellar_fields_available": non_null_count(STELLAR)})
-    group = Window.partitionBy("host_id")
-    ranked = group.orderBy(F.col("host_name"), F.col("stellar_fields_available").desc(), F.col("planet_name"))
+    ranked = Window.partitionBy("host_id").orderBy(F.col("host_name"), F.col("stellar_fields_available").desc(), F.col("planet_name"), *[F.col(c) for c in _HOST_VALUES])
     rows = rows.withColumns({"_n": F.row_number().over(ranked), "selected_source_planet_name": F.first("planet_name").over(ranked)})
-    counts = rows.groupBy("host_id").agg(*[F.count_distinct(c).alias(f"{c}_value_count") for c in STELLAR])
+    counts = rows.groupBy("host_id", "host_name").agg(*[F.count_distinct(c).alias(f"{c}_value_count") for c in STELLAR])
     counts = counts.withColumn("stellar_values_conflict", F.greatest(*[F.col(f"{c}_value_count") for c in STELLAR]) > 1)
-    return rows.join(counts, "host_id")
+    return rows.join(counts, ["host_id", "host_name"])
 
 
 def build_hosts(staged: DataFrame) -> DataFrame:
     """One record per host: its most complete row, flagged if its rows disagree."""
     chosen = _candidates(staged).where("_n = 1")
     return chosen.select(
-        "host_id", "host_name", "hd_name", "hip_name", "tic_id", "gaia_dr3_designation", "gaia_source_id", "ra_deg", "dec_deg", "system_distance_pc", "star_count", "planet_count", "is_circumbinary",
-        *STELLAR, "stellar_fields_available", F.col("planet_name").alias("stellar_source_planet_name"), F.lit("most_complete_then_planet_name").alias("stellar_selection_method"), "stellar_values_conflict", "source",
+        "host_id", "host_name", *_HOST_VALUES, "stellar_fields_available", F.col("planet_name").alias("stellar_source_planet_name"), F.lit("most_complete_then_planet_name").alias("stellar_selection_method"), "stellar_values_conflict", "source",
     ).orderBy("host_name")
 
 
@@ -58,7 +65,7 @@ def host_conflicts(staged: DataFrame) -> DataFrame:
     rows = _candidates(staged).where("stellar_values_conflict")
     return rows.select(
         "host_id", "host_name", F.col("planet_name").alias("source_planet_name"), "selected_source_planet_name", (F.col("planet_name") == F.col("selected_source_planet_name")).alias("is_selected"),
-        "stellar_fields_available", *STELLAR, *[f"{c}_value_count" for c in STELLAR], F.lit("stellar properties differ between planet rows").alias("review_reason"), "source",
+        "stellar_fields_available", *STELLAR, *[f"{c}_value_count" for c in STELLAR], F.lit(CONFLICT_REASON).alias("review_reason"), "source",
     ).orderBy("host_name", "source_planet_name")
 
 
@@ -77,5 +84,5 @@ def count_mismatches(systems: DataFrame) -> DataFrame:
     """Systems whose counts differ, with the difference."""
     return systems.where(~F.col("planet_count_matches_archive")).select(
         "system_id", "host_id", "host_name", "star_count", "planet_count", "archive_planet_count", (F.col("planet_count") - F.col("archive_planet_count")).cast("short").alias("planet_count_difference"),
-        "is_circumbinary", "system_grouping_method", F.lit("archive system planet count differs from rows grouped by exact host name").alias("review_reason"), "source",
+        "is_circumbinary", "system_grouping_method", F.lit(COUNT_REASON).alias("review_reason"), "source",
     ).orderBy("host_name")

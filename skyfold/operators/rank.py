@@ -13,6 +13,12 @@ def unique_flag(keys: list[str]) -> Column:
     return F.count("*").over(Window.partitionBy(*keys)) == 1
 
 
+def with_unique_flag(df: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` with whether a row's key occurs once; false for null keys, however many. Only keys are counted and moved."""
+    repeated = df.select(key).dropna().groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias("_repeated"))
+    return df.join(repeated, key, "left").withColumn(flag, F.col(key).isNotNull() & F.col("_repeated").isNull()).drop("_repeated")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

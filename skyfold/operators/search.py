@@ -26,3 +26,8 @@ def search(stars: DataFrame, aliases: DataFrame, query: str, limit: int = 20) ->
     hits = best.select("star_id", F.col("alias").alias("matched_alias"), "catalogue", "priority", "is_exact", "_length").join(stars.select("star_id", F.col("canonical_display_name").alias("display_name"), "ra_deg", "dec_deg"), "star_id")
     ranked = hits.orderBy(F.col("is_exact").desc(), "priority", "_length", "display_name", "star_id").limit(limit)
     return ranked.select("star_id", "display_name", "matched_alias", "catalogue", "is_exact", "ra_deg", "dec_deg")
+
+
+def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one source, host or system by its id; the filter reaches the scan."""
+    return table.where(F.col(key) == F.lit(value).cast(table.schema[key].dataType))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import sys
 import tempfile
 from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,11 @@ from skyfold.operators.identity import build_aliases, build_stars, link_hosts
 from skyfold.operators.planets import build_hosts, build_planets, build_systems, count_mismatches, host_conflicts, invalid_rows
 from skyfold.operators.quality import expect
 from skyfold.operators.rank import numbered_batches
-from skyfold.plans.runtime import Settings, flow, task
+from skyfold.plans.runtime import JsonLines, Settings, current_run, flow, task
 from skyfold.session import get_session
 from skyfold.sources import archives, snapshots
 from skyfold.sources.catalogues import load_faint_stars, load_named_planets, load_planets, load_sources, load_star_names
-from skyfold.sources.published import HOST_RECORDS, write_arrow, write_tables
+from skyfold.sources.published import HOST_RECORDS, Build, write_arrow, write_build, write_tables
 
 # Row counts of the pinned snapshots.
 EXPECTED = {
@@ -37,7 +39,7 @@ BATCH = 500
 def _publish(settings: Settings, tables: dict[str, DataFrame], names: str, checks: dict[str, Callable[[], object]]) -> None:
     for name, actual in checks.items():
         expect(name, actual(), EXPECTED[name], strict=settings.strict_checks)
-    write_tables(tables, settings.processed_root, files=1)
+    write_tables(tables, settings.processed_root, files=settings.output_files)
 
 
 @flow("build-identity")
@@ -90,8 +92,14 @@ def build_records(settings: Settings, spark: SparkSession) -> None:
 
 @flow("build")
 def build(settings: Settings, spark: SparkSession) -> None:
+    """All tables, and at last the pointer to them: readers see the build before until then."""
     for step in (build_identity, build_exoplanets, build_host_ids, build_sources, build_records):
         step(settings, spark)
+    tables = sorted(p.name for p in settings.processed_root.glob("*.parquet"))
+    counts = {n: spark.read.parquet(str(settings.processed_root / n)).count() for n in tables}
+    sources = {p.parent.parent.name: json.loads(p.read_text(encoding="utf-8"))["sha256"] for p in sorted(settings.raw_root.glob("*/current/snapshot.json"))}
+    created = datetime.now(UTC).isoformat(timespec="seconds")
+    write_build(Build(current_run().run_id, created, sources, counts), settings.processed_root / "build.json")
 
 
 @flow("refresh-pscomppars")
@@ -103,13 +111,11 @@ def refresh_planets(settings: Settings, spark: SparkSession) -> Path:
 def refresh_sources(settings: Settings, spark: SparkSession, client: archives.Client | None = None) -> Path:
     """Downloads every batch of host ids to a folder beside the snapshot, which is replaced only when all are there."""
     ids = spark.read.parquet(str(settings.processed_root / "gaia_host_ids.parquet"))
-    batches: dict[int, list[int]] = {}
-    for row in numbered_batches(ids, "gaia_source_id", BATCH).toLocalIterator():
-        batches.setdefault(row["batch_number"], []).append(row["gaia_source_id"])
+    batches = numbered_batches(ids, "gaia_source_id", BATCH).groupBy("batch_number").agg(F.sort_array(F.collect_list("gaia_source_id")).alias("ids")).orderBy("batch_number")
     settings.raw_root.mkdir(parents=True, exist_ok=True)
     with tempfile.TemporaryDirectory(dir=settings.raw_root, prefix=".batches-") as work:
-        for number in sorted(batches):
-            archives.download_batch(number, sorted(batches[number]), Path(work) / "batches", client)
+        for row in batches.toLocalIterator():  # a part of the batches at a time
+            archives.download_batch(row["batch_number"], row["ids"], Path(work) / "batches", client)
         return snapshots.store_folder(Path(work), "gaia_hosts", settings.raw_root, origin=archives.STAR_TABLE, online=True)
 
 
@@ -132,6 +138,9 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     settings = Settings.load(strict_checks=args.strict, log_level=args.log_level, log_json=args.log_json)
     logging.basicConfig(level=settings.log_level)
+    if settings.log_json:
+        for handler in logging.getLogger().handlers:
+            handler.setFormatter(JsonLines())
     try:
         COMMANDS[args.command](settings, get_session())
     except SystemExit as stop:

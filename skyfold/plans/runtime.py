@@ -18,18 +18,23 @@ log = logging.getLogger("skyfold")
 
 @dataclass
 class Settings:
-    """Taken from ``SKYFOLD_*`` variables where not given."""
+    """Taken from ``SKYFOLD_*`` variables, or else from lines of that form in ``.env``, where not given."""
 
     data_root: Path = Path("data")
+    log_dir: Path | None = None
     log_level: str = "INFO"
     log_json: bool = False
     log_retention: int = 20
     strict_checks: bool = False
+    output_files: int | None = None  # how many files each published table is written as; as many as it has parts if None
 
     @classmethod
     def load(cls, **given: object) -> Settings:
-        kinds = {"data_root": Path, "log_level": str, "log_json": lambda v: v.lower() in ("1", "true", "yes"), "log_retention": int, "strict_checks": lambda v: v.lower() in ("1", "true", "yes")}
-        named = {k: kind(os.environ[f"SKYFOLD_{k.upper()}"]) for k, kind in kinds.items() if f"SKYFOLD_{k.upper()}" in os.environ}
+        kinds = {"data_root": Path, "log_dir": Path, "output_files": int, "log_level": str, "log_json": lambda v: v.lower() in ("1", "true", "yes"), "log_retention": int, "strict_checks": lambda v: v.lower() in ("1", "true", "yes")}
+        lines = Path(".env").read_text(encoding="utf-8").splitlines() if Path(".env").is_file() else []
+        written = {k.strip(): v.strip().strip("\"'") for k, eq, v in (line.partition("=") for line in lines) if eq and not k.lstrip().startswith("#")}
+        values = written | dict(os.environ)
+        named = {k: kind(values[f"SKYFOLD_{k.upper()}"]) for k, kind in kinds.items() if f"SKYFOLD_{k.upper()}" in values}
         return cls(**named | {k: v for k, v in given.items() if v is not None})
 
     @property
@@ -42,7 +47,7 @@ class Settings:
 
     @property
     def logs_root(self) -> Path:
-        return self.data_root / "logs"
+        return self.log_dir or self.data_root / "logs"
 
 
 @dataclass
@@ -59,7 +64,7 @@ def current_run() -> Run | None:
     return _run.get()
 
 
-class _Lines(logging.Formatter):
+class JsonLines(logging.Formatter):
     def format(self, record: logging.LogRecord) -> str:
         run = _run.get()
         return json.dumps({"time": self.formatTime(record), "level": record.levelname, "run_id": run and run.run_id, "flow": run and run.flow, "message": record.getMessage()})
@@ -71,7 +76,7 @@ def _open_log(settings: Settings, run: Run) -> logging.Handler:
     for old in sorted(folder.glob("*.jsonl"), key=lambda p: p.stat().st_mtime, reverse=True)[max(0, settings.log_retention - 1) :]:
         old.unlink()
     handler = logging.FileHandler(folder / f"{run.run_id}.jsonl", encoding="utf-8")
-    handler.setFormatter(_Lines())
+    handler.setFormatter(JsonLines())
     log.addHandler(handler)
     return handler
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfold.operators.clean import captured_long, known, lenient_double, null_placeholders, rename_strictly, strip_strings, tidy_headers, without_prefix
-from skyfold.operators.rank import unique_flag
+from skyfold.operators.rank import with_unique_flag
 from skyfold.sources.schemas import GAIA, PSCOMPPARS
 
 # The catalogues' column names and ours, which carry the unit.
@@ -44,16 +44,20 @@ NAMED_PLANETS = {
 }
 
 
-def _typed_csv(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """CSV with headers under a fixed schema; a header that differs or a value of another type raises."""
-    options = {"header": True, "nullValue": "", "mode": "FAILFAST", "enforceSchema": False, "multiLine": True, "escape": '"'}
-    header = spark.read.options(header=True, multiLine=True, escape='"').csv(paths[0]).columns
+def _typed_csv(spark: SparkSession, paths: list[str], schema: T.StructType, *, line_breaks: bool = False) -> DataFrame:
+    """CSV with headers under a fixed schema; a header that differs or a value of another type raises.
+
+    Files are split among tasks by lines. Only where fields may hold ``line_breaks`` is each file read by one task.
+    """
+    options = {"header": True, "nullValue": "", "mode": "FAILFAST", "enforceSchema": False, "multiLine": line_breaks, "escape": '"'}
+    header = spark.read.options(header=True, multiLine=line_breaks, escape='"').csv(paths[0]).columns
     if set(header) != set(schema.names):
         raise ValueError(f"unexpected columns: {sorted(set(header) ^ set(schema.names))}")
     return spark.read.schema(T.StructType([schema[c] for c in header])).options(**options).csv(paths).select(*schema.names)
 
 
 def _text_csv(spark: SparkSession, path: str, empty: str | None = None) -> DataFrame:
+    """CSV of texts; these small catalogues have notes with line breaks."""
     df = spark.read.options(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return df if empty is None else df.fillna(empty)
 
@@ -74,8 +78,8 @@ def source_staging(raw: DataFrame) -> DataFrame:
     df = rename_strictly(strip_strings(raw), SOURCE_NAMES)
     named = F.col("gaia_dr3_designation") == F.concat(F.lit("Gaia DR3 "), F.col("gaia_source_id").cast("string"))
     placed = F.col("ra_deg").between(0, 360) & F.col("dec_deg").between(-90, 90)
-    df = df.withColumn("_once", unique_flag(["gaia_source_id"]))
-    return df.withColumns({"is_valid": known(F.col("gaia_source_id").isNotNull() & named & F.col("_once") & placed), "source": F.lit("gaia_hosts")}).drop("_once").orderBy(F.col("gaia_source_id").asc_nulls_first())
+    df = with_unique_flag(df, "gaia_source_id", "_once")
+    return df.withColumns({"is_valid": known(F.col("gaia_source_id").isNotNull() & named & F.col("_once") & placed), "source": F.lit("gaia_hosts")}).drop("_once")
 
 
 def load_planets(spark: SparkSession, path: str) -> DataFrame:

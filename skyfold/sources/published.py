@@ -55,17 +55,29 @@ def open_views(spark: SparkSession, root: Path | str, views: dict[str, str]) ->
 
 
 def write_arrow(df: DataFrame, path: Path | str) -> int:
-    """An Arrow file (uncompressed) of a published table, whose size is that of a client's download; the number of rows."""
+    """An Arrow file (uncompressed) of a published table, in the table's order; the number of rows.
+
+    The workers serialise their batches; the driver appends them to the file and holds those of one part at a time.
+    """
     import pyarrow as pa
 
-    table = df.toArrow()
-    target = Path(path)
+    def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.serialize().to_pybytes()], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["batch", "n"])
+
+    schema = df.limit(0).toArrow().schema
+    target, rows = Path(path), 0
     target.parent.mkdir(parents=True, exist_ok=True)
     part = target.with_suffix(".part")
-    with pa.OSFile(str(part), "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-        writer.write_table(table)
+    with pa.OSFile(str(part), "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
+        for row in df.mapInArrow(serialised, "batch binary, n long").toLocalIterator():
+            batch = pa.ipc.read_record_batch(pa.py_buffer(row["batch"]), schema)
+            writer.write_batch(batch.cast(schema) if batch.schema != schema else batch)
+            rows += row["n"]
     part.replace(target)
-    return table.num_rows
+    return rows
 
 
 def read_arrow(spark: SparkSession, path: Path | str) -> DataFrame:
