@@ -1,5 +1,7 @@
 """DuckDB SQL giving the same rows as the pN_ queries of the core that SQL can express."""
 
+from skyfold.sources.schemas import PSCOMPPARS
+
 _KEY = r"nullif(nullif(lower(regexp_replace({0}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), ''), '-')"
 _H, _C = _KEY.format("h.host_id"), _KEY.format("c.host_id")
 _NUMBER = r"case when regexp_full_match(trim({0}), '[+-]?[0-9]+(\.[0-9]+)?') then try_cast(trim({0}) as double) end"
@@ -42,6 +44,23 @@ r as (select raw_id, case when broken then 'broken_quote' when n <> 31 then 'col
 select raw_id, reason from r where reason is not null
 """
 
+_STRINGS, _SHORTS = (1, 2, 3, 4, 5, 6, 7, 20, 28, 30), (11, 12, 13, 29, 31)
+
+
+def _field(i: int, name: str) -> str:
+    if i in _STRINGS:
+        return f"nullif(fields[{i}], '') {name}"
+    kind = "double" if i not in _SHORTS else "tinyint" if name in ("cb_flag", "pl_controv_flag") else "smallint"
+    pattern = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?" if kind == "double" else "[+-]?[0-9]+"
+    return f"case when regexp_full_match(trim(fields[{i}], ' '), '{pattern}') then try_cast(trim(fields[{i}], ' ') as {kind}) end {name}"
+
+
+def loaded_sql(names: list[str]) -> str:
+    """The lines that load, typed; the grammar and the checks are those of ``P6``."""
+    lines = P6[: P6.index("v as (select raw_id, broken")].rstrip().rstrip(",").replace("select raw_id, coalesce", "select raw_id, file_name, line_no, coalesce")
+    return f"{lines} select raw_id, file_name, line_no, {', '.join(_field(i, n) for i, n in enumerate(names, 1))} from f anti join ({P6}) x using (raw_id)"
+
+
 P7_PROFILE = """
 with v as (
   select retrieval_id, load_no, 'parallax' column_name, parallax v, parallax between -50 and 800 and not isnan(parallax) ok from gaia
@@ -81,4 +100,4 @@ with d as (select retrieval_id, load_no, 'designation' column_name, designation
 select retrieval_id, load_no, column_name, count(*) as rows, count(*) - count(t) nulls, count(*) filter (where not regexp_full_match(t, p)) violations, violations / nullif(count(t), 0) violation_share from d group by all
 """
 
-SQL = {"p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": P7_DIFFERENT, "p7_columns": P7_COLUMNS, "p7_patterns": P7_PATTERNS, "p7_found": P7}
+SQL = {"p6_loaded": loaded_sql(PSCOMPPARS.names), "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6, "p7_profile": P7_DIFFERENT, "p7_columns": P7_COLUMNS, "p7_patterns": P7_PATTERNS, "p7_found": P7}

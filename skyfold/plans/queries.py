@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from skyfold.functions.names import ascii_search_key, designation_aliases, parse_designation, search_key
 from skyfold.functions.text import reference_text
-from skyfold.operators.clean import captured_long, lenient_double, null_placeholders, strip_strings, without_prefix
-from skyfold.operators.hosts import SPATIAL, build_host_sources, density_cells, host_records, host_source_ids, scatter_extent
-from skyfold.operators.identity import PRIORITY
-from skyfold.operators.planets import STELLAR, build_hosts, build_planets, build_systems, count_mismatches, host_conflicts, invalid_rows
+from skyfold.operators.clean import captured_long, lenient_double, null_placeholders, rename_strictly, strip_strings, without_prefix
+from skyfold.operators.hosts import SOURCE_COLUMNS, SPATIAL, build_host_sources, density_cells, display_name, host_records, host_source_ids, record_faults, scatter_extent, scatter_points
+from skyfold.operators.identity import PRIORITY, build_aliases, build_name_table, build_stars, link_hosts
+from skyfold.operators.nearby import regions_containing
+from skyfold.operators.planets import CONFLICT_REASON, COUNT_REASON, STELLAR, build_hosts, build_planets, build_systems, count_mismatches, host_conflicts, invalid_rows
 from skyfold.operators.quality import validated_join
 from skyfold.operators.rank import distinct_counts, first_per_key, non_null_count, numbered_batches, unique_flag, value_of_first
-from skyfold.operators.search import search
+from skyfold.operators.search import lookup, search
 from skyfold.operators.spatial import with_distance, with_galactocentric, with_heliocentric
 from skyfold.plans.problems import table
-from skyfold.sources.catalogues import SOURCE_NAMES, planet_staging, source_staging
+from skyfold.sources.catalogues import PLANET_NAMES, SOURCE_NAMES, planet_staging, source_staging
 from skyfold.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +61,7 @@ NUMBER_SQL = r"case when regexp_full_match({0}, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9
 
 @query("select c_custkey customer_id, c_name customer_name, c_acctbal balance, c_mktsegment segment from customer")
 def typed_projection_rename(t: Table) -> DataFrame:
-    return t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").withColumnsRenamed({"c_custkey": "customer_id", "c_name": "customer_name", "c_acctbal": "balance", "c_mktsegment": "segment"})
+    return rename_strictly(t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), {"c_custkey": "customer_id", "c_name": "customer_name", "c_acctbal": "balance", "c_mktsegment": "segment"})
 
 
 _TEXTS = ["wgsn_id", "star_name", "hip", "hr", "hd", "other_id", "spectral_type"]
@@ -88,8 +89,10 @@ def lenient_numbers(t: Table) -> DataFrame:
 
 
 _PLANETS_SQL = f"""
-with s as (select snapshot_no, {trimmed("pl_name")} planet_name, {trimmed("hostname")} host_name, {trimmed("gaia_dr3_id")} g, ra, dec, sy_snum, sy_pnum, cb_flag, pl_controv_flag, st_teff, st_mass, st_rad, st_lum, sy_dist from pscomppars),
-p as (select *, case when regexp_full_match(g, 'Gaia DR3 [0-9]+') then try_cast(g[10:] as bigint) end gaia_source_id from s),
+with s as (select * replace ({", ".join(f"{trimmed(c)} as {c}" for c in ("pl_name", "hostname", "pl_letter", "hd_name", "hip_name", "tic_id", "gaia_dr3_id", "pl_bmassprov", "discoverymethod", "disc_facility"))}),
+  pl_name planet_name, hostname host_name from pscomppars),
+n as (select * replace ({trimmed("pl_name")} as planet_name, {trimmed("hostname")} as host_name), gaia_dr3_id g from s),
+p as (select *, case when regexp_full_match(g, 'Gaia DR3 [0-9]+') then try_cast(g[10:] as bigint) end gaia_source_id from n),
 v as (select *, {counted("length(planet_name) > 0 and length(host_name) > 0 and ra between 0 and 360 and dec between -90 and 90 and sy_snum >= 1 and sy_pnum >= 1 and (g is null or gaia_source_id is not null)")} is_valid from p)
 """
 
@@ -308,82 +311,101 @@ def distance_priority(t: Table) -> DataFrame:
     return with_distance(_placed(t)).select("row_id", *[F.round(c, 6).alias(c) for c in ("distance_pc", "distance_lower_pc", "distance_upper_pc")], "distance_method", "distance_quality")
 
 
-# Distances beyond 50 kpc are no position here: rounding would compare noise.
-_HELIO = "d * cos(radians(b)) * cos(radians(l)) hx, d * cos(radians(b)) * sin(radians(l)) hy, d * sin(radians(b)) hz"
-_HELIO_SQL = f"with {_DISTANCE_SQL}, n as (select *, case when distance_pc <= 50000 then distance_pc end d from p), h as (select row_id, {_HELIO} from n)"
+# Positions are compared in parts of the distance (at least one parsec or kiloparsec): rounding must not compare the noise of large numbers.
+_HELIO = "distance_pc * cos(radians(b)) * cos(radians(l)) hx, distance_pc * cos(radians(b)) * sin(radians(l)) hy, distance_pc * sin(radians(b)) hz"
+_HELIO_SQL = f"with {_DISTANCE_SQL}, h as (select *, {_HELIO} from p), g as (select *, 0.99999672443758247 * hx / 1000 + 9.3396296357779800e-07 * hy / 1000 + 2.5595142573179744e-03 * hz / 1000 - 8.1219733661223 gx, -9.3020648297014539e-07 * hx / 1000 + 0.99999999999848865 * hy / 1000 - 1.4688441515474427e-06 * hz / 1000 gy, -2.5595142586859292e-03 * hx / 1000 + 1.4664584634852765e-06 * hy / 1000 + 0.99999672443693988 * hz / 1000 + 0.0208 gz from h)"
 
 
-def _near(t: Table) -> DataFrame:
-    df = _placed(t).transform(with_distance)
-    return df.withColumn("distance_pc", F.when(F.col("distance_pc") <= 50000, F.col("distance_pc"))).transform(with_heliocentric)
+def _in_parts(c: str, unit: float) -> F.Column:
+    return F.round(F.col(c) / F.greatest(F.lit(1.0), F.col("distance_pc") / unit), 6)
 
 
-@query(_HELIO_SQL + " select row_id, round(hx, 3) x, round(hy, 3) y, round(hz, 3) z from h")
+@query(_HELIO_SQL + " select row_id, " + ", ".join(f"round(h{c} / greatest(1.0, distance_pc), 6) {c}" for c in "xyz") + " from g")
 def heliocentric_xyz(t: Table) -> DataFrame:
-    return _near(t).select("row_id", *[F.round(f"heliocentric_{c}_pc", 3).alias(c) for c in "xyz"])
+    return _placed(t).transform(with_distance).transform(with_heliocentric).select("row_id", *[_in_parts(f"heliocentric_{c}_pc", 1).alias(c) for c in "xyz"])
 
 
-@query(_HELIO_SQL + """
-select row_id, round(0.99999672443758247 * hx / 1000 + 9.3396296357779800e-07 * hy / 1000 + 2.5595142573179744e-03 * hz / 1000 - 8.1219733661223, 6) x,
-  round(-9.3020648297014539e-07 * hx / 1000 + 0.99999999999848865 * hy / 1000 - 1.4688441515474427e-06 * hz / 1000, 6) y,
-  round(-2.5595142586859292e-03 * hx / 1000 + 1.4664584634852765e-06 * hy / 1000 + 0.99999672443693988 * hz / 1000 + 0.0208, 6) z from h""")
+@query(_HELIO_SQL + " select row_id, " + ", ".join(f"round(g{c} / greatest(1.0, distance_pc / 1000.0), 6) {c}" for c in "xyz") + " from g")
 def galactocentric_xyz(t: Table) -> DataFrame:
-    return _near(t).transform(with_galactocentric).select("row_id", *[F.round(f"galactocentric_{c}_kpc", 6).alias(c) for c in "xyz"])
+    placed = _placed(t).transform(with_distance).transform(with_heliocentric).transform(with_galactocentric)
+    return placed.select("row_id", *[_in_parts(f"galactocentric_{c}_kpc", 1000).alias(c) for c in "xyz"])
 
 
-@query()
+_SOURCE_SQL_NAMES = {v: {"source_id": "gaia_source_id", "ra": "ra_deg", "dec": "dec_deg"}.get(k, k) for k, v in SOURCE_NAMES.items()} | {c: c for c in ("gaia_source_id", "parallax_over_error", "ruwe", "duplicated_source", "astrometric_params_solved", "visibility_periods_used", "phot_variable_flag", "non_single_star", "distance_method", "distance_quality")} | {"gaia_dr3_designation": trimmed("designation"), "phot_variable_flag": trimmed("phot_variable_flag")}
+_ROUNDED = ["distance_pc", "distance_lower_pc", "distance_upper_pc"]
+
+
+@query(f"""with {_DISTANCE_SQL}, c as (select gaia_source_id from gaia where gaia_source_id is not null group by 1 having count(*) = 1),
+h as (select p.*, {_HELIO} from p semi join c using (gaia_source_id) where regexp_replace(designation, '^\\s+|\\s+$', '', 'g') = 'Gaia DR3 ' || gaia_source_id and ra_deg between 0 and 360 and dec_deg between -90 and 90)
+select {", ".join(f"{_SOURCE_SQL_NAMES[c]} {c}" for c in SOURCE_COLUMNS if c in _SOURCE_SQL_NAMES)}, round(distance_pc, 6) distance_pc, round(lower_pc, 6) distance_lower_pc, round(upper_pc, 6) distance_upper_pc,
+  {", ".join(f"round(h{c} / greatest(1.0, distance_pc), 6) heliocentric_{c}" for c in "xyz")}, 'gaia_hosts' source from h""")
 def host_sources(t: Table) -> DataFrame:
-    return build_host_sources(_sources(t))
+    df = build_host_sources(_sources(t))
+    places = [_in_parts(f"heliocentric_{c}_pc", 1).alias(f"heliocentric_{c}") for c in "xyz"]
+    return df.select(*[F.round(c, 6).alias(c) if c in _ROUNDED else c for c in SOURCE_COLUMNS if "centric" not in c], *places)
+
+
+_PLANET_SQL_NAMES = {v: k for k, v in PLANET_NAMES.items()} | {"planet_name": "planet_name", "host_name": "host_name", "is_controversial": "pl_controv_flag <> 0", "is_circumbinary": "cb_flag <> 0", "gaia_source_id": "gaia_source_id", "hd_name": "hd_name", "hip_name": "hip_name", "tic_id": "tic_id"}
+
+
+def _sql_columns(names: list[str]) -> str:
+    return ", ".join(f"{_PLANET_SQL_NAMES[n]} {n}" for n in names)
 
 
-@query(_PLANETS_SQL + f"select 'nea:planet:' || {folded('planet_name')} planet_id, 'nea:host:' || {folded('host_name')} host_id, 'nea:system:' || {folded('host_name')} system_id, planet_name from v where is_valid")
+_PLANET_VALUES = ["planet_letter", "radius_earth", "mass_earth", "mass_provenance", "density_g_cm3", "equilibrium_temperature_k", "insolation_earth", "orbital_period_days", "semi_major_axis_au", "eccentricity", "inclination_deg", "discovery_method", "discovery_year", "discovery_facility", "is_controversial"]
+
+
+@query(_PLANETS_SQL + f"select 'nea:planet:' || {folded('planet_name')} planet_id, 'nea:host:' || {folded('host_name')} host_id, 'nea:system:' || {folded('host_name')} system_id, planet_name, {_sql_columns(_PLANET_VALUES)}, 'nasa_pscomppars' source from v where is_valid")
 def planets(t: Table) -> DataFrame:
-    return build_planets(planet_staging(t("pscomppars"))).select("planet_id", "host_id", "system_id", "planet_name")
+    return build_planets(planet_staging(t("pscomppars")))
 
 
+_HOST_VALUES = ["hd_name", "hip_name", "tic_id", "gaia_dr3_designation", "gaia_source_id", "ra_deg", "dec_deg", "system_distance_pc", "star_count", "planet_count", "is_circumbinary", *STELLAR]
 _HOSTS_SQL = (
     _PLANETS_SQL
-    + f""", c as (select *, 'nea:host:' || {folded("host_name")} host_id, (st_teff is not null)::int + (st_mass is not null)::int + (st_rad is not null)::int + (st_lum is not null)::int n from v where is_valid),
-g as (select host_id, count(distinct st_teff) ct, count(distinct st_mass) cm, count(distinct st_rad) cr, count(distinct st_lum) cl from c group by 1),
-w as (select c.*, first_value(planet_name) over (partition by host_id order by host_name, n desc, planet_name) chosen from c)
+    + f""", c as (select 'nea:host:' || {folded("host_name")} host_id, host_name, planet_name, {_sql_columns(_HOST_VALUES)},
+  ((st_teff is not null)::int + (st_mass is not null)::int + (st_rad is not null)::int + (st_lum is not null)::int)::tinyint stellar_fields_available from v where is_valid),
+k as (select host_id, host_name, {", ".join(f"count(distinct {c}) {c}_value_count" for c in STELLAR)} from c group by all),
+w as (select c.*, row_number() over o place, first_value(planet_name) over o chosen from c window o as (partition by host_id order by host_name, stellar_fields_available desc, planet_name, {", ".join(f"{c} nulls first" for c in _HOST_VALUES)})),
+j as (select w.*, k.* exclude (host_id, host_name), greatest({", ".join(f"{c}_value_count" for c in STELLAR)}) > 1 stellar_values_conflict from w join k using (host_id, host_name)),
+h as (select host_id, host_name, {", ".join(_HOST_VALUES)}, stellar_fields_available, planet_name stellar_source_planet_name, 'most_complete_then_planet_name' stellar_selection_method, stellar_values_conflict, 'nasa_pscomppars' source from j where place = 1)
 """
 )
 
 
-@query(_HOSTS_SQL + "select host_id, max(chosen) stellar_source_planet_name, any_value(greatest(ct, cm, cr, cl) > 1) stellar_values_conflict from w join g using (host_id) group by 1")
+@query(_HOSTS_SQL + "select * from h")
 def representative_hosts(t: Table) -> DataFrame:
-    return build_hosts(planet_staging(t("pscomppars"))).select("host_id", "stellar_source_planet_name", "stellar_values_conflict")
+    return build_hosts(planet_staging(t("pscomppars")))
 
 
-@query(_HOSTS_SQL + "select host_id, host_name, planet_name source_planet_name, chosen selected_source_planet_name, planet_name = chosen is_selected, ct stellar_temperature_k_value_count, cl stellar_luminosity_log_solar_value_count from w join g using (host_id) where greatest(ct, cm, cr, cl) > 1")
+@query(_HOSTS_SQL + f"""select host_id, host_name, planet_name source_planet_name, chosen selected_source_planet_name, planet_name = chosen is_selected, stellar_fields_available, {", ".join(STELLAR)}, {", ".join(f"{c}_value_count" for c in STELLAR)},
+  '{CONFLICT_REASON}' review_reason, 'nasa_pscomppars' source from j where stellar_values_conflict""")
 def host_conflict_review(t: Table) -> DataFrame:
-    return host_conflicts(planet_staging(t("pscomppars"))).select("host_id", "host_name", "source_planet_name", "selected_source_planet_name", "is_selected", "stellar_temperature_k_value_count", "stellar_luminosity_log_solar_value_count")
+    return host_conflicts(planet_staging(t("pscomppars")))
 
 
 def _systems(t: Table) -> DataFrame:
-    """Systems of all staged rows; the archive's count is the largest a host's rows give, so that repeated rows agree."""
     staged = planet_staging(t("pscomppars"))
-    hosts = build_hosts(staged).drop("planet_count", "system_distance_pc", "star_count", "is_circumbinary", "host_name", "source")
-    plain = staged.where("is_valid").groupBy(F.concat(F.lit("nea:host:"), search_key("host_name")).alias("host_id")).agg(*[F.max(c).alias(c) for c in ("planet_count", "system_distance_pc", "star_count", "is_circumbinary", "host_name", "source")])
-    return build_systems(hosts.join(plain, "host_id"), build_planets(staged))
+    return build_systems(build_hosts(staged), build_planets(staged))
 
 
-_SYSTEMS_SQL = _HOSTS_SQL + ", y as (select host_id, max(sy_pnum) archive, count(*)::smallint n from c group by 1)"
+_SYSTEMS_SQL = _HOSTS_SQL + """, y as (select replace(host_id, ':host:', ':system:') system_id, host_id, host_name, star_count, n::smallint planet_count, h.planet_count archive_planet_count, n = h.planet_count planet_count_matches_archive,
+  system_distance_pc, is_circumbinary, 'exact_host_name' system_grouping_method, source from h join (select host_id, count(*) n from c group by 1) using (host_id))"""
 
 
-@query(_SYSTEMS_SQL + " select replace(host_id, ':host:', ':system:') system_id, host_id, n planet_count, archive archive_planet_count, n = archive planet_count_matches_archive from y")
+@query(_SYSTEMS_SQL + " select * from y")
 def systems(t: Table) -> DataFrame:
-    return _systems(t).select("system_id", "host_id", "planet_count", "archive_planet_count", "planet_count_matches_archive")
+    return _systems(t)
 
 
-@query(_SYSTEMS_SQL + " select host_id, n planet_count, archive archive_planet_count, (n - archive)::smallint planet_count_difference from y where n <> archive")
+@query(_SYSTEMS_SQL + f" select * exclude (planet_count_matches_archive, system_distance_pc), (planet_count - archive_planet_count)::smallint planet_count_difference, '{COUNT_REASON}' review_reason from y where not planet_count_matches_archive")
 def count_mismatch_review(t: Table) -> DataFrame:
-    return count_mismatches(_systems(t)).select("host_id", "planet_count", "archive_planet_count", "planet_count_difference")
+    return count_mismatches(_systems(t))
 
 
 _RECORDS_SQL = f"""
 with {_DISTANCE_SQL},
-u as (select * from p qualify row_number() over (partition by gaia_source_id order by row_id) = 1),
+u as (select *, {_HELIO} from p qualify row_number() over (partition by gaia_source_id order by row_id) = 1),
 h as (select * from exoplanet_hosts qualify row_number() over (partition by host_id order by host_row_id) = 1),
 e as (select host_id, count(*) planet_count from exoplanets where host_id is not null group by 1)
 """
@@ -410,9 +432,104 @@ def position_status_counts(t: Table) -> DataFrame:
     return _records(t).groupBy("position_status").agg(F.count("*").alias("n"))
 
 
-@query()
+_SCATTER_SQL = _RECORDS_SQL + ", r as (select h.host_id, hx, hy, e.planet_count, u.distance_method from h left join e using (host_id) join u on u.gaia_source_id = h.gaia_source_id where hx is not null and hy is not null)"
+
+
+@query(_SCATTER_SQL + """, ext as (select least(0.0, min(hx)) x0, greatest(0.0, max(hx)) x1, least(0.0, min(hy)) y0, greatest(0.0, max(hy)) y1, count(*) positioned, greatest(1, max(planet_count)) most_planets from r)
+select round(x0, 3) min_x, round(x1, 3) max_x, round(y0, 3) min_y, round(y1, 3) max_y, positioned, most_planets, round(greatest(x1 - x0, y1 - y0) / 2 * 1.08, 3) half_width from ext""")
 def scatter_domain(t: Table) -> DataFrame:
-    return scatter_extent(_records(t), "heliocentric_x_pc", "heliocentric_y_pc")
+    d = scatter_extent(_records(t), "heliocentric_x_pc", "heliocentric_y_pc")
+    return d.select(*[F.round(f"{m}_heliocentric_{c}_pc", 3).alias(f"{m}_{c}") for c in "xy" for m in ("min", "max")], "positioned", "most_planets", F.round("half_width", 3).alias("half_width"))
+
+
+@query(_SCATTER_SQL + """ select host_id, case when planet_count is not null then round(3 + 6 * least(1.0, greatest(0.0, (sqrt(planet_count) - 1) / (sqrt(m) - 1))), 6) end radius, case when distance_method = 'inverse_parallax' then 'amber' else 'blue' end colour
+from r, (select greatest(1, max(planet_count)) m from r)""")
+def scatter_markers(t: Table) -> DataFrame:
+    return scatter_points(_records(t), "heliocentric_x_pc", "heliocentric_y_pc").select("host_id", F.round("radius", 6).alias("radius"), "colour")
+
+
+@query(_RECORDS_SQL + """select h.host_id, case when h.host_id is null then 'host_id is missing' when host_name is null then 'host_name is missing' when e.planet_count is null then 'planet_count is missing' when h.planet_count is null then 'archive_planet_count is missing'
+  when is_circumbinary is null then 'is_circumbinary is missing' end fault from h left join e using (host_id)""")
+def record_review(t: Table) -> DataFrame:
+    return record_faults(_records(t)).select("host_id", "fault")
+
+
+@query("select row_id, gaia_source_id, designation, loaded_at from gaia where gaia_source_id = (select min(gaia_source_id) from gaia)")
+def source_lookup(t: Table) -> DataFrame:
+    gaia = t("gaia").select("row_id", "gaia_source_id", "designation", "loaded_at")
+    return lookup(gaia, "gaia_source_id", gaia.agg(F.min("gaia_source_id")).first()[0])
+
+
+_TRIANGLES = [(i, [30.0 * i + 1, 30.0 * i + 28, 30.0 * i + 10], [-60.0, 5.0 * i - 50, 60.0]) for i in range(12)]
+_TRIANGLE_SQL = ", ".join(f"({i}, {x[0]}, {x[1]}, {x[2]}, {y[0]}, {y[1]}, {y[2]})" for i, x, y in _TRIANGLES)
+_CROSSES = " + ".join(f"(((y{i} > dec_deg) <> (y{j} > dec_deg)) and ra_deg < x{i} + (dec_deg - y{i}) * (x{j} - x{i}) / nullif(y{j} - y{i}, 0))::int" for i, j in ((0, 1), (1, 2), (2, 0)))
+
+
+@query(f"""with r(region_id, x0, x1, x2, y0, y1, y2) as (values {_TRIANGLE_SQL}) select distinct row_id, region_id from gaia join r
+on ra_deg between least(x0, x1, x2) and greatest(x0, x1, x2) and dec_deg between -60 and 60 where coalesce({_CROSSES}, 0) % 2 = 1""")
+def sources_in_regions(t: Table) -> DataFrame:
+    gaia = t("gaia").select("row_id", "ra_deg", "dec_deg")
+    regions = gaia.sparkSession.createDataFrame(_TRIANGLES, "region_id int, ra_list array<double>, dec_list array<double>")
+    return regions_containing(gaia, regions, point_id="row_id", region_id="region_id", cell_deg=5.0)
+
+
+def _stars(t: Table) -> DataFrame:
+    """Canonical stars of the named faint stars: each catalogue's columns as its loader gives them."""
+    clean = null_placeholders(strip_strings(t("wgsn_faints").select("star_name", "hip", "hr", "hd", "other_id", "constellation", "ra2000", "de2000", "vmag", "spectral_type", "distance_ly", "bv_color")))
+    names = clean.select(F.col("star_name").alias("proper_name"), F.col("hr").alias("designation"), F.lit(None).cast("string").alias("hip"), F.lit(None).cast("string").alias("bayer_raw"), F.col("other_id").alias("simbad_spelling"), "constellation")
+    names = names.withColumn("is_valid", F.col("proper_name").isNotNull() & F.col("constellation").isNotNull())
+    faint = clean.withColumn("hip", without_prefix("hip", "HIP")).select(F.col("star_name").alias("name"), *[lenient_double(c).alias(n) for c, n in (("ra2000", "ra_deg"), ("de2000", "dec_deg"), ("vmag", "vmag"), ("distance_ly", "distance_ly"), ("bv_color", "bv_color"))], "spectral_type", "hd", "hr", "other_id", "hip")
+    return build_stars(names, faint)
+
+
+_STARS_SQL = f"""
+with n as (select {", ".join(f"{cleaned(c)} {c}" for c in ("star_name", "hip", "hr", "hd", "other_id", "constellation"))}, {NUMBER_SQL.format("ra2000")} ra_deg from wgsn_faints),
+k as (select *, {folded("star_name")} name_key from n),
+s as (select 'iau:' || a.name_key star_id, a.name_key, a.star_name canonical_display_name, a.hr designation, a.other_id simbad_spelling, regexp_replace(b.hip, '^HIP\\s*', '', 'i') hip, b.hd, b.other_id, b.ra_deg
+  from k a left join k b on a.name_key = b.name_key where a.star_name is not null and a.constellation is not null),
+u as (select star_id, canonical_display_name alias, 'IAU' catalogue, 1 priority, true official from s union all select star_id, simbad_spelling, 'SIMBAD', 3, false from s union all select star_id, designation, 'HR', 6, false from s
+  union all select star_id, 'HIP ' || hip, 'HIP', 5, false from s union all select star_id, 'HD ' || hd, 'HD', 4, false from s union all select star_id, other_id, 'other', 6, false from s),
+a as (select star_id, alias, catalogue, priority, {folded("alias")} alias_search_key from u where alias <> '' and {folded("alias")} <> ''
+  qualify row_number() over (partition by star_id, {folded("alias")} order by priority, official desc, catalogue, alias) = 1)
+"""
+
+
+@query(_STARS_SQL + "select star_id, name_key, canonical_display_name, designation, simbad_spelling, hip, hd, other_id, ra_deg, 'unavailable' distance_method from s")
+def canonical_stars(t: Table) -> DataFrame:
+    return _stars(t).select("star_id", "name_key", "canonical_display_name", "designation", "simbad_spelling", "hip", "hd", "other_id", "ra_deg", "distance_method")
+
+
+@query(_STARS_SQL + "select * from a")
+def star_aliases(t: Table) -> DataFrame:
+    return build_aliases(_stars(t)).select("star_id", "alias", "catalogue", "priority", "alias_search_key")
+
+
+_PAIRS_SQL = _STARS_SQL + f", d as (select distinct star_id, name_key from s), p as (select host_name, {folded('host_name')} host_key from (select distinct host_name from exoplanet_hosts) union all select distinct canonical_display_name, name_key from s)"
+
+
+def _linked(t: Table) -> tuple[DataFrame, DataFrame]:
+    stars = _stars(t)
+    pairs = t("exoplanet_hosts").select("host_name").distinct().union(stars.select("canonical_display_name").distinct())
+    return link_hosts(stars.select("star_id", "name_key").distinct(), pairs)
+
+
+@query(_PAIRS_SQL + " select host_name, host_key, star_id from p join d on host_key = name_key")
+def linked_hosts(t: Table) -> DataFrame:
+    return _linked(t)[0].select("host_name", "host_key", "star_id")
+
+
+@query(_PAIRS_SQL + " select host_name, host_key, 'host name not found in canonical stars' review_reason from p where not exists (select 1 from d where name_key = host_key)")
+def unlinked_hosts(t: Table) -> DataFrame:
+    return _linked(t)[1].select("host_name", "host_key", "review_reason")
+
+
+@query(_STARS_SQL + """, o as (select star_id, list(alias order by priority, catalogue, alias) aliases, list(catalogue order by priority, catalogue, alias)[1] name_source, min(priority) label_priority from a group by 1),
+e as (select star_id entity_id, min(canonical_display_name) display_name from s group by 1)
+select (row_number() over (order by entity_id) - 1)::int name_index, 'star' entity_type, entity_id, display_name, name_source, aliases, label_priority from e left join o on star_id = entity_id""")
+def star_name_table(t: Table) -> DataFrame:
+    stars = _stars(t)
+    one = stars.groupBy("star_id").agg(F.min("canonical_display_name").alias("canonical_display_name"), F.min("object_type").alias("object_type"))
+    return build_name_table(one, build_aliases(stars))
 
 
 def _names(t: Table) -> tuple[DataFrame, DataFrame]:
@@ -443,9 +560,9 @@ def name_table(t: Table) -> DataFrame:
     return _names(t)[1].groupBy("star_id").agg(F.array_sort(F.collect_set("alias_search_key")).alias("keys"))
 
 
-@query("select host_row_id, coalesce(host_name, hd_name, hip_name, gaia_dr3_designation) display_name from exoplanet_hosts")
+@query(f"select host_row_id, coalesce({', '.join(f"case when trim({c}) <> '' then {c} end" for c in ('host_name', 'hd_name', 'hip_name', 'gaia_dr3_designation'))}) display_name from exoplanet_hosts")
 def display_name_fallback(t: Table) -> DataFrame:
-    return t("exoplanet_hosts").select("host_row_id", F.coalesce("host_name", "hd_name", "hip_name", "gaia_dr3_designation").alias("display_name"))
+    return t("exoplanet_hosts").select("host_row_id", display_name("host_name", "hd_name", "hip_name", "gaia_dr3_designation").alias("display_name"))
 
 
 @query("select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') k from part")
@@ -458,10 +575,21 @@ def unicode_search_key(t: Table) -> DataFrame:
     return t("pscomppars").select("hostname").dropna().distinct().withColumn("k", search_key("hostname"))
 
 
-@query()
+# Heads of designations with their kind and the heads of their forms.
+_HEADS = [
+    ("α", "bayer", ("α", "alf", "Alpha")), ("beta", "bayer", ("β", "bet", "Beta")), ("gam", "bayer", ("γ", "gam", "Gamma")), ("δ1", "bayer", ("δ1", "del1", "Delta1")), ("Epsilon", "bayer", ("ε", "eps", "Epsilon")),
+    ("zet02", "bayer", ("ζ02", "zet02", "Zeta02")), ("η", "bayer", ("η", "eta", "Eta")), ("V1054", "variable", ()), ("61", "flamsteed", ()), ("unknown", "unparsed", ()),
+]
+_HEAD_SQL = ", ".join(f"({i}, '{h}', '{k}', {list(f)}::varchar[])" for i, (h, k, f) in enumerate(_HEADS))
+
+
+@query(f"""with h(i, head, kind, heads) as (values {_HEAD_SQL}), w as (select wgsn_id, {cleaned("constellation")} c, length(wgsn_id) + coalesce(length(star_name), 0) n from wgsn_faints)
+select wgsn_id, head || ' ' || c raw, case when c is not null then kind end kind, case when c is null then []::varchar[] else list_transform(heads, lambda x: x || ' ' || c) end forms from w join h on n % 10 = i""")
 def bayer_forms(t: Table) -> DataFrame:
-    letters = F.array(*[F.lit(x) for x in ("α", "beta", "gam", "δ1", "Epsilon", "zet02", "η", "V1054", "61", "unknown")])
-    made = t("wgsn_faints").select("wgsn_id", F.concat(F.get(letters, F.pmod(F.xxhash64("wgsn_id"), F.lit(10)).cast("int")), F.lit(" "), F.col("constellation")).alias("raw"))
+    heads = F.array(*[F.lit(h) for h, _, _ in _HEADS])
+    at = F.pmod(F.char_length("wgsn_id") + F.coalesce(F.char_length("star_name"), F.lit(0)), F.lit(10))
+    clean = null_placeholders(strip_strings(t("wgsn_faints").select("constellation", "wgsn_id", at.cast("string").alias("at"))))
+    made = clean.select("wgsn_id", F.concat(F.get(heads, F.col("at").cast("int")), F.lit(" "), F.col("constellation")).alias("raw"))
     return made.select("wgsn_id", "raw", parse_designation("raw")["kind"].alias("kind"), designation_aliases("raw").alias("forms"))
 
 
@@ -481,6 +609,14 @@ def density_grid(t: Table) -> DataFrame:
     return density_cells(t("gaia"), "ra_deg", "dec_deg", (128, 256, 512), (0.0, -90.0, 360.0, 90.0))
 
 
+@query("""with f as (select ra_deg x, dec_deg y, case when abs(phot_g_mean_mag) < 'inf'::double then phot_g_mean_mag end m, case when abs(bp_rp) < 'inf'::double then bp_rp end c, case when abs(ruwe) < 'inf'::double then ruwe end q from gaia
+  where ra_deg between 0 and 360 and dec_deg between -90 and 90)
+select 32 grid_level, least(31, floor(x / 360.0 * 32))::int cell_x, least(31, floor((y - -90.0) / 180.0 * 32))::int cell_y, count(*) points, round(ln(sum(pow(10.0, -0.4 * m))), 6) brightness, round(avg(c), 6) mean_colour, round(avg(q), 4) mean_quality from f group by all""")
+def density_means(t: Table) -> DataFrame:
+    cells = density_cells(t("gaia"), "ra_deg", "dec_deg", (32,), (0.0, -90.0, 360.0, 90.0), magnitude="phot_g_mean_mag", colour="bp_rp", quality="ruwe")
+    return cells.select("grid_level", "cell_x", "cell_y", "points", F.round(F.ln("weighted_brightness"), 6).alias("brightness"), F.round("mean_colour", 6).alias("mean_colour"), F.round("mean_quality", 4).alias("mean_quality"))
+
+
 @query("select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) n from events group by all")
 def events_by_hour(t: Table) -> DataFrame:
     return windowed_counts(t("events"), time="ts", by=["event_type"], window="1 hour", late="10 minutes")

@@ -43,8 +43,8 @@ def test_against_brute_force(spark, gone):
     rng = random.Random(3)
     keys = [*range(-5, 40), *range(250, 262), 10**18, 10**18 + 1, -(2**63), 2**63 - 1]
     day = lambda p: rng.choice(DAY) if rng.random() < p else None
-    parent = [(rng.choice([*keys, None]), rng.choice(["a", " B", "c\t", "-", None, "Ω"]), day(0.95), day(0.4)) for _ in range(60)]
-    child = [(i, rng.choice([*keys, None, 41, 100]), rng.choice(["A ", "b", "d", "", " ", "-", None, "ω\u00a0"]), day(0.95)) for i in range(400)]
+    parent = [(rng.choice([*keys, None]), rng.choice(["a", " B", "c\t", "-", None, "Ω", "a1", "a2", "A3 ", "a007", "7", "1" * 30, "x9y"]), day(0.95), day(0.4)) for _ in range(60)]
+    child = [(i, rng.choice([*keys, None, 41, 100]), rng.choice(["A ", "b", "d", "", " ", "-", None, "ω\u00a0", "a2", "a4", "a7", "a07", "A007", "7", "1" * 30, "1" * 29, "x9y", "x9"]), day(0.95)) for i in range(400)]
     child += child[:3]
     assert found(spark, child, parent, gone) == brute(child, parent, gone)
 
@@ -55,7 +55,7 @@ def test_empty_tables(spark):
 
 
 def test_runs_are_contiguous(spark):
-    p = spark.createDataFrame([(k, DAY[0]) for k in [3, 4, 5, 5, 9, 255, 256, 257]], "code long, loaded timestamp_ntz")
+    p = spark.createDataFrame([("", k, DAY[0]) for k in [3, 4, 5, 5, 9, 255, 256, 257]], "stem string, code long, loaded timestamp_ntz")
     assert sorted((r["run_start"], r["run_end"], len(r["first_loads"])) for r in key_runs(p).collect()) == [(3, 5, 3), (9, 9, 1), (255, 255, 1), (256, 257, 2)]
 
 
