@@ -97,5 +97,6 @@ def regions_containing(points: DataFrame, regions: DataFrame, *, point_id: str,
         above = (yi > F.col("_dec")) != (yj > F.col("_dec"))
         return above & (F.col("_ra") < xi + F.try_divide((F.col("_dec") - yi) * (xj - xi), yj - yi))
 
-    met = sky.join(boxed, ["_cx", "_cy", "_salt"])
+    # as above, the exploded side is not to be taken for a small one
+    met = sky.join(boxed.hint("merge"), ["_cx", "_cy", "_salt"])
     return met.where(F.size(F.filter(edges, crosses)) % 2 == 1).select(point_id, region_id).distinct()
