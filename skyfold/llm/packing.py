@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from skyfold.session import materialize
 
-_SALTS = 512
+_ROWS = 20_000  # pieces of one size that a task numbers, about, if all are of that size
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,8 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
     pieces = sized.select(item_id, "_n", F.explode(cut).alias("piece_no")).select(
         item_id, F.col("piece_no").cast("int"), (F.col("piece_no") * capacity).alias("first_unit"), F.least(F.lit(capacity), F.col("_n") - F.col("piece_no") * capacity).cast("int").alias("n_units")
     )
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64(item_id, "piece_no"), F.lit(_SALTS)).cast("int"))
+    most = pieces.agg(F.count("*")).first()[0]
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64(item_id, "piece_no"), F.lit(max(1, -(-most // _ROWS)))).cast("int"))
     parts = pieces.groupBy("n_units", "_part").agg(F.count("*").alias("_m"))
     counts = {r["n_units"]: r["n"] for r in parts.groupBy("n_units").agg(F.sum("_m").alias("n")).collect()}
     placed, opened = best_fit(counts, capacity)
