@@ -1,7 +1,10 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
-from skyfold.llm.packing import best_fit, pack
+import pytest
+
+from skyfold.llm import packing
+from skyfold.llm.packing import pack
 
 
 def one_by_one(sizes, capacity):
@@ -17,22 +20,6 @@ def one_by_one(sizes, capacity):
     return sorted(gaps)
 
 
-def test_supersteps_equal_item_by_item():
-    rng = random.Random(1)
-    for _ in range(60):
-        capacity = rng.choice([10, 37, 100])
-        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(0, 200))] + [rng.randint(1, capacity)] * rng.randint(0, 80)
-        placed, opened = best_fit(Counter(sizes), capacity)
-        used, ranks = defaultdict(int), defaultdict(list)
-        for p in placed:
-            assert p.items % p.per == 0
-            ranks[p.size] += range(p.rank, p.rank + p.items)
-            for i in range(p.items):
-                used[p.container + i // p.per] += p.size
-        assert all(sorted(ranks[s]) == list(range(n)) for s, n in Counter(sizes).items())
-        assert sorted(capacity - u for u in used.values()) == one_by_one(sizes, capacity) and len(used) == opened
-
-
 def check(spark, sizes, capacity=100):
     df = spark.createDataFrame([(i % 900, s, "clash") for i, s in enumerate(sizes)], "doc_id long, size long, container_id string")
     rows = pack(df, "doc_id", "size", capacity).collect()
@@ -61,6 +48,23 @@ def test_one_size_holds_a_third_and_repeated_rows(spark):
     assert len(rows) == 3100 and sum(used.values()) == 70000 and len(used) == 700
 
 
+@pytest.mark.parametrize("events,finish", [(60, 0), (200_000, 0), (200, 20)])
+def test_supersteps_pack_as_tightly_as_item_by_item(spark, monkeypatch, events, finish):
+    """Whatever the ranges: many small ones, where items take gaps of other ranges, or one."""
+    monkeypatch.setattr(packing, "_EVENTS", events)
+    monkeypatch.setattr(packing, "_FINISH", finish)
+    rng = random.Random(3)
+    sizes = [rng.choice([rng.randint(1, 100), rng.randint(5, 50), 34, 20]) for _ in range(400)] + [51] * 30 + [49] * 30
+    rows, used = check(spark, sizes)
+    gaps = one_by_one(sizes, 100)
+    assert set(used) == set(range(len(used))) and len(used) <= 1.02 * len(gaps)
+
+
+def test_levels_name_the_gap_of_each_item():
+    assert packing._levels({(0, 2): 3, (1, 1): 2, (1, 2): 1, (2, 1): 5}) == [(0, 0, 0), (1, 3, 1), (2, 2, 0)]
+    assert packing._finish([(7, 60), (8, 50), (9, 10)], [(3, 55)], 100, 5) == ([(7, 5), (8, 3), (9, 5)], 6)
+
+
 def test_empty_and_only_empty_texts(spark):
     assert check(spark, [])[0] == []
     assert {r["container_id"] for r in check(spark, [0, None, 0])[0]} == {0}
