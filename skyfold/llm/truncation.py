@@ -14,16 +14,17 @@ from skyfold.session import materialize, spread
 _CLOSERS = "\"”’')\\]»}"
 _STOPS = ".!?…。！？"
 # A stop that ends a token becomes ⓢ, a line break ⓝ; other marks at the edges of a token vanish, numbers are all 0.
-# The look-ahead that begins a pattern is the cheap test that fails at most characters.
+# Runs are tried from their first character only, so that long ones cost no more than their length; the first
+# character or look-ahead of a pattern is the cheap test that fails at most places.
 _STEPS = [
     (r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}])", " $1 "),
-    (r" ++([。！？、」])", "$1 "),
+    (r" (?<!  ) *+([。！？、」])", "$1 "),
     (r"[0-9]++(?:[.,:/][0-9]++)*+", "0"),
-    (r"(?=[ \n])(?<! ) *+\n[\n ]*+", "ⓝ "),
+    (r"[ \n](?<! [ \n])(?:(?<=\n)| *+\n)[\n ]*+", "ⓝ "),
     (rf"(?=[.,;:!?…。！？、—{_CLOSERS}])(?<![.,;:!?…。！？、—{_CLOSERS}])[.,;:!?…。！？、—{_CLOSERS}]*[{_STOPS}][{_CLOSERS}]*+(?=ⓝ?+(?: |\z))", "ⓢ"),
     (rf"(?=[.,;:、—({_CLOSERS}])(?<![.,;:、—({_CLOSERS}])[.,;:、—({_CLOSERS}]++(?=ⓝ?+(?: |\z))", ""),
     (r"(?=[\"“'(¿¡«\[])(?<![^ ])[\"“'(¿¡«\[]++", ""),
-    (r" ++(?=[ⓢⓝ ])", ""),
+    (r" (?<!  ) *+(?=[ⓢⓝ])", ""),
 ]
 # All white space of Unicode becomes a plain space or line break first, so that the patterns need no Unicode classes.
 _SPACES, _BREAKS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", "\r\x85\u2028\u2029"
